@@ -299,7 +299,8 @@ def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     odd = docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
     if kind in ("bigint", "int", "smallint", "tinyint") and odd.isEmpty():
-        return docs.withColumn("okey", F.col(key).cast("long"))
+        # never null, and declared so: else inner joins would filter their texts first, and not share the exchange
+        return docs.withColumn("okey", F.coalesce(F.col(key).cast("long"), F.lit(0)))
     ordered = docs.repartitionByRange(F.col(key), F.xxhash64(text)).sortWithinPartitions(key, text)
     return cut(ordered.withColumn("okey", F.monotonically_increasing_id()))
 
