@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a vectorised kernel handles at once; its temporaries are a few dozen times as large.
 CHUNK_BYTES = 1 << 20
@@ -31,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """The schema of ``df`` with the fields of a DDL string behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text form, modulo ``n``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -66,8 +72,3 @@ def text_parts(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         yield row, last, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
-
-def batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Record batches of column dictionaries."""
-    for x in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x[f.name], type=f.type) for f in schema], schema=schema)

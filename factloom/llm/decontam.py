@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_parts
+from factloom.llm.common import text_parts, with_fields
 
 #: Words of the items of one automaton, about; a word takes some 700 bytes.
 BLOCK_WORDS = 100_000
@@ -174,7 +174,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     types = dict(zip(new, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32())), pa.string()]))
     names = [c for c in docs.columns if c.lower() not in kinds]
     out = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields] + [f"{k} {v}" for k, v in kinds.items()])
+    schema = with_fields(out, ", ".join(f"{k} {v}" for k, v in kinds.items()))
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(a) for a in _blocks(items, item_key, item_text, window)]  # each bounded by BLOCK_WORDS
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, text_parts
+from factloom.llm.common import crc_mod, text_parts, with_fields
 
 #: Texts of each language (about) from which the trigram counts are fitted.
 FIT_DOCS = 1500
@@ -170,8 +170,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # 256 KB a language, MAX_LANGUAGES of them at most
     new = {"lang_pred": "string", "score": "double", "langs": "map<string,double>"}
     kept = [c for c in docs.columns if c.lower() not in new]
-    base = docs.select(*kept)
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"{k} {v}" for k, v in new.items()])
+    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    schema = with_fields(base, ", ".join(f"{k} {v}" for k, v in new.items()))
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

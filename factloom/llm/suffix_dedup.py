@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, text_parts
+from factloom.llm.common import cut, text_parts, with_fields
 
 #: Rows that a task holds to find the earliest of equal ones before the shuffle.
 HELD = 400_000
@@ -333,7 +333,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     texts = base.repartition("okey")
     spans = repeated_spans(base.select("okey", "text"), texts, length)
     joined = texts.join(spans.hint("shuffle_hash"), "okey", "left")
-    kind = base.schema["key"].dataType.simpleString()
     counts = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()} | ({"kept_sha256": pa.string()} if digest else {"kept": pa.binary()})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +362,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             front = [b.column("key")] + ([] if digest else [b.column("rest")])
             yield pa.RecordBatch.from_arrays([*front, *columns], names=["key", *([] if digest else ["rest"]), *counts])
 
-    more = "kept_sha256 string" if digest else "kept binary"
-    schema = f"key {kind}, " + ("" if digest else f"rest {base.schema['rest'].dataType.simpleString()}, ") + f"n_bytes long, n_removed long, n_spans long, {more}"
+    front = base.select("key", *([] if digest else ["rest"]))
+    schema = with_fields(front, "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
