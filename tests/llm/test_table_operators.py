@@ -70,6 +70,9 @@ def page(body, head=""):
     ("<article><p>a &lt;b&gt; &#x41;&#66; &unknown; c</p><style>p{}</style><pre>k  l</pre></article>", "a <b> AB &unknown; c\nk l"),
     ("<article><header><h1>Title</h1></header><p>unclosed <i>italic", "Title\nunclosed italic"),
     ("<header>site</header><article><p>1</p></article><article class='comment'><p>no</p></article>", "1"),
+    ("<article><p>seen</p><p hidden>a</p><p style='display: none'>b</p><div aria-hidden='true'>c</div></article>", "seen"),
+    ("<div class='page with-sidebar'><div class='text'><p>The main text of this page is here.</p></div><div class='sidebar'>side</div></div>", "The main text of this page is here."),
+    ("<div class='widget'><p>All of the text stands in a widget.</p></div><nav>menu</nav>", "All of the text stands in a widget."),
     ("", ""), ("<article></article>", ""), ("plain & simple < text", "plain & simple < text"),
 ])
 def test_main_text(body, want):
