@@ -148,7 +148,7 @@ class And(_Base):
         mine = self.known()
         both = {v: Limits(known.get(v, Limits()).filters + mine.get(v, Limits()).filters) for v in {*known, *mine}}
         relations, filters = [], []
-        for p in self.parts:
+        for p in _starred(self.parts):
             df = p.to_df(both)
             (filters if df is None else relations).append((p, df))
         bound = {v for p, _ in relations for v in p.variables()}
@@ -176,6 +176,60 @@ class And(_Base):
         return df
 
 
+@dataclass
+class _Star(_Base):
+    """Clauses on one entity of one table, answered by one scan."""
+
+    clauses: list[Pattern]
+
+    def variables(self) -> list[str]:
+        return list(dict.fromkeys(v for c in self.clauses for v in c.variables()))
+
+    def to_df(self, known: Known) -> DataFrame:
+        df = self.clauses[0].source.star([_key_of(c.a) for c in self.clauses])
+        entity = self.clauses[0].e
+        seen: dict[str, Column] = {}
+        if isinstance(entity, Var):
+            seen[entity.name] = F.col("e")
+            for limit in known.get(entity.name, Limits()).on(F.col("e")):
+                df = df.where(limit)
+        else:
+            df = df.where(F.col("e") == (entity.value if isinstance(entity, Id) else str(entity)))
+        for i, c in enumerate(self.clauses):
+            col = F.col(f"v{i}")
+            if not isinstance(c.v, Var):
+                df = df.where(col == constant_key(_typed(c.a, c.v)))
+            elif c.v.name in seen:
+                df = df.where(seen[c.v.name] == col)
+            else:
+                seen[c.v.name] = col
+                for limit in known.get(c.v.name, Limits()).on(col, F.col(f"int{i}"), F.col(f"num{i}")):
+                    df = df.where(limit)
+        return df.select(*[c.alias(n) for n, c in seen.items()])
+
+
+def _key_of(attribute: object) -> str:
+    return attribute.key if isinstance(attribute, Attribute) else str(attribute)
+
+
+def _starred(parts: Sequence[Constraint]) -> list[Constraint]:
+    """Puts clauses of one source, entity and table together, where the source can scan them at once."""
+    groups: dict[tuple, list[Pattern]] = {}
+    out: list[object] = []
+    for p in parts:
+        table = getattr(p.source, "table_of", None) if isinstance(p, Pattern) and not isinstance(p.a, Var) else None
+        name = table(_key_of(p.a)) if table else None
+        if name is None:
+            out.append(p)
+            continue
+        key = (id(p.source), name, p.e.name if isinstance(p.e, Var) else ("constant", str(p.e)))
+        if key not in groups:
+            out.append(key)
+            groups[key] = []
+        groups[key].append(p)
+    return [(_Star(groups[x]) if len(groups[x]) > 1 else groups[x][0]) if isinstance(x, tuple) else x for x in out]
+
+
 class Or(_Base):
     """Any arm holds: the set union over all variables of the arms, which must be the same in each."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.functions.codec import of_spark, encoding
 from factloom.plans.algebra import vars_
-from factloom.sources.facts import Attribute, FactSource, TableSource, table_facts
+from factloom.sources.facts import Attribute, TableSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,9 +48,9 @@ def graph(spark: SparkSession, sf_dir: str, *names: str) -> TableSource:
     return TableSource({n: (table(spark, sf_dir, n), KEYS[n], REFERENCES.get(n, {})) for n in names})
 
 
-def lineitems(spark: SparkSession, sf_dir: str, *columns: str) -> FactSource:
+def lineitems(spark: SparkSession, sf_dir: str) -> TableSource:
     """Facts of lineitem, which has no key: an entity is its row's content."""
-    return FactSource(table_facts(table(spark, sf_dir, "lineitem"), "lineitem", None, REFERENCES["lineitem"]))
+    return TableSource({"lineitem": (table(spark, sf_dir, "lineitem"), None, REFERENCES["lineitem"])})
 
 
 def attr(column: str, kind: str) -> Attribute:

@@ -91,37 +91,63 @@ def fact_structs(values: Mapping[Attribute, Column]) -> Column:
 def entities(df: DataFrame, entity: Column | None, values: Mapping[Attribute, Column]) -> DataFrame:
     """Facts of one entity a row. With ``entity`` None the id follows from the facts: equal content, in any order and
     with repetitions, has one id. Only a content id needs its facts at once; either way nothing is shuffled."""
-    rows = df.select((entity.cast("string") if entity is not None else F.lit(None).cast("string")).alias("e"), fact_structs(values).alias("facts"))
     if entity is None:
-        rows = rows.select(intrinsic_id(F.col("facts")).alias("e"), "facts")
+        if any(a.many for a in values):
+            entity = intrinsic_id(fact_structs(values))
+        else:
+            df, entity = with_row_id(df, values)
+    if len(values) == 1 and not next(iter(values)).many:
+        # one attribute: no array to take apart, and a filter on the value is a filter on the column
+        (a, value), = values.items()
+        rows = df.select(entity.cast("string").alias("e"), F.lit(a.key).alias("a"), a.encoding.key(value).alias("v"), a.encoding.int(value).alias("int"), a.encoding.num(value).alias("num"))
+        return rows.where("e is not null and v is not null")
+    rows = df.select(entity.cast("string").alias("e"), fact_structs(values).alias("facts"))
     return rows.where("e is not null").select("e", F.inline("facts")).select(*COLUMNS)
 
 
+def with_row_id(df: DataFrame, values: Mapping[Attribute, Column], salt: str = "") -> tuple[DataFrame, Column]:
+    """``intrinsic_id`` of an entity with at most one value an attribute, without building arrays: the order of the facts
+    is that of the attributes, known beforehand. Keys and rows are columns of their own, so that none is computed twice."""
+    order = sorted(values.items(), key=lambda x: f"{len(x[0].key)}:{x[0].key}".encode())
+    df = df.withColumns({f"__row{i}": F.concat(F.lit(f"{len(a.key)}:{a.key}"), a.encoding.key(v)) for i, (a, v) in enumerate(order)})
+    parts = [F.when(F.col(f"__row{i}").isNotNull(), F.concat(F.length(f"__row{i}").cast("string"), F.lit(":"), F.col(f"__row{i}"))).otherwise("") for i in range(len(order))]
+    df = df.withColumn("__id", F.substring(F.sha2(F.concat(F.lit(salt), *parts), 256), 33, 32)).drop(*[f"__row{i}" for i in range(len(order))])
+    return df, F.col("__id")
+
+
 def intrinsic_id(facts: Column, salt: str = "") -> Column:
     """Id of an entity from its facts: the last 16 bytes, in hexadecimal, of the SHA-256 of its sorted distinct facts."""
     rows = F.array_sort(F.array_distinct(F.transform(facts, lambda x: F.concat(F.length(x["a"]).cast("string"), F.lit(":"), x["a"], x["v"]))))
     return F.substring(F.sha2(F.concat(F.lit(salt), F.array_join(F.transform(rows, lambda r: F.concat(F.length(r).cast("string"), F.lit(":"), r)), "")), 256), 33, 32)
 
 
-def table_facts(df: DataFrame, name: str, key: str | Sequence[str] | None, references: Mapping[str, str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Facts of a relational table: attribute ``name.column`` for each column, entity ``name/key`` for each row, or the
-    id of the row's content if there is no key. ``references`` names the columns that are foreign keys and the table
-    they point to: their values are entities."""
-    references = references or {}
-    values = {}
+def table_values(df: DataFrame, name: str, references: Mapping[str, str] | None = None) -> dict[Attribute, Column]:
+    """The attributes ``name.column`` of a relational table and their values; foreign keys point to entities."""
+    out = {}
     for f in df.schema.fields:
-        if columns is not None and f.name not in columns:
-            continue
-        if f.name in references:
-            values[Attribute.named(f"{name}.{f.name}", "id")] = F.concat(F.lit(references[f.name] + "/"), F.col(f.name).cast("string"))
-        elif f.dataType.simpleString() in ("array<float>", "array<double>"):
-            continue
-        else:
-            values[Attribute(f"{name}.{f.name}", of_spark(f.dataType.simpleString()), f"{name}.{f.name}")] = F.col(f.name)
+        kind = f.dataType.simpleString()
+        if f.name in (references or {}):
+            out[Attribute.named(f"{name}.{f.name}", "id")] = F.concat(F.lit(references[f.name] + "/"), F.col(f.name).cast("string"))
+        elif not kind.startswith("array"):
+            out[Attribute.named(f"{name}.{f.name}", of_spark(kind).name)] = F.col(f.name)
+    return out
+
+
+def table_entity(df: DataFrame, name: str, key: str | Sequence[str] | None, values: Mapping[Attribute, Column]) -> tuple[DataFrame, Column]:
+    """The rows and their entity: ``name/key``, or the id of the row's content if there is no key."""
     if key is None:
-        return entities(df, None, values)
+        return with_row_id(df, values)
     keys = [key] if isinstance(key, str) else list(key)
-    return entities(df, F.concat(F.lit(name + "/"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])), values)
+    return df, F.concat(F.lit(name + "/"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+
+
+def table_facts(df: DataFrame, name: str, key: str | Sequence[str] | None, references: Mapping[str, str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Facts of a relational table: attribute ``name.column`` for each column, entity ``name/key`` for each row, or the
+    id of the row's content if there is no key. ``references`` names the columns that are foreign keys and the table
+    they point to: their values are entities. ``columns``: only their facts."""
+    values = table_values(df, name, references)
+    df, entity = table_entity(df, name, key, values)
+    return entities(df, entity, {a: v for a, v in values.items() if columns is None or a.name.partition(".")[2] in columns})
 
 
 class FactSource:
@@ -152,12 +178,13 @@ class UnionSource(FactSource):
 
 
 class TableSource(FactSource):
-    """Facts read from a relational table by attribute. A pattern on one attribute reads the table's one column and
-    its key, so that filters on the value reach the file scan, where a table of facts in rows would be built whole."""
+    """Facts read from relational tables by attribute. A pattern on one attribute reads the table's one column and its
+    key, so that filters on the value reach the file scan, and clauses that share an entity are one scan without a join."""
 
-    def __init__(self, tables: Mapping[str, tuple[DataFrame, str, Mapping[str, str]]]) -> None:
-        """tables: name -> (rows, key column, foreign keys); the key must be unique."""
-        self.tables = tables
+    def __init__(self, tables: Mapping[str, tuple[DataFrame, str | None, Mapping[str, str]]]) -> None:
+        """tables: name -> (rows, key column, foreign keys). The key must be unique; without one, an entity is its row's
+        content, and equal rows are one entity."""
+        self.tables = {n: (df if key is not None else df.distinct(), key, refs) for n, (df, key, refs) in tables.items()}
 
     def facts(self) -> DataFrame:
         out = None
@@ -166,13 +193,39 @@ class TableSource(FactSource):
             out = part if out is None else out.unionByName(part)
         return out
 
-    def scan(self, attribute: str) -> DataFrame:
+    def table_of(self, attribute: str) -> str | None:
         name, _, column = attribute.partition(".")
-        if name not in self.tables or column not in self.tables[name][0].columns:
+        return name if name in self.tables and column in self.tables[name][0].columns else None
+
+    def scan(self, attribute: str) -> DataFrame:
+        name = self.table_of(attribute)
+        if name is None:
             some = next(iter(self.tables.values()))[0].sparkSession
             return some.createDataFrame([], FACT_SCHEMA)
         df, key, refs = self.tables[name]
-        return table_facts(df, name, key, refs, [column])
+        return table_facts(df, name, key, refs, [attribute.partition(".")[2]])
+
+    def star(self, attributes: Sequence[str]) -> DataFrame | None:
+        """Rows of one table with a non-null value in each of the attributes, as e, and v0, int0, num0, v1, ... in their
+        order; None if they aren't all of one table. Entities are unique, so this is the join of their scans."""
+        names = {self.table_of(a) for a in attributes}
+        if len(names) != 1 or None in names:
+            return None
+        name, = names
+        df, key, refs = self.tables[name]
+        values = table_values(df, name, refs)
+        by = {a.key: (a.encoding, v) for a, v in values.items()}
+        if any(a not in by for a in attributes):
+            return None
+        df, entity = table_entity(df, name, key, values)
+        columns = [entity.alias("e")]
+        for i, a in enumerate(attributes):
+            enc, value = by[a]
+            columns += [enc.key(value).alias(f"v{i}"), enc.int(value).alias(f"int{i}"), enc.num(value).alias(f"num{i}")]
+        out = df.select(*columns).where("e is not null")
+        for i in range(len(attributes)):
+            out = out.where(F.col(f"v{i}").isNotNull())
+        return out
 
 
 def write_archive(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.codec import constant_key
 from factloom.sources.facts import COLUMNS, FactSource
 
 MAX_DEPTH = 128
@@ -36,8 +37,7 @@ def _constant(name: str) -> float:
     raise Refused(f"{name} is no JSON number")
 
 
-def loads(text: str, depth: int = MAX_DEPTH) -> object:
-    """Strict parsing; numbers stay text, in ``_Number``."""
+def _depth(text: str) -> int:
     nested = level = 0
     inside = skip = False
     for c in text:
@@ -52,13 +52,19 @@ def loads(text: str, depth: int = MAX_DEPTH) -> object:
             nested = max(nested, level)
         elif c in "]}":
             level -= 1
-    if nested > depth:
+    return nested
+
+
+def loads(text: str, depth: int = MAX_DEPTH) -> object:
+    """Strict parsing; numbers stay text, in ``_Number``."""
+    if text.count("[") + text.count("{") > depth and _depth(text) > depth:
         raise Refused(f"nested deeper than {depth}")
     try:
         value = json.loads(text, object_pairs_hook=_pairs, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
     except json.JSONDecodeError as e:
         raise Refused(str(e)) from None
-    _no_surrogates(value)
+    if "\\u" in text:
+        _no_surrogates(value)
     return value
 
 
@@ -85,12 +91,6 @@ def _no_surrogates(v: object) -> None:
             _no_surrogates(x)
 
 
-def _java(x: float) -> str:
-    from factloom.functions.codec import constant_key
-
-    return constant_key(x)
-
-
 def _id(rows: list[tuple[str, str]], salt: str) -> str:
     parts = sorted({f"{len(a)}:{a}{v}" for a, v in rows})
     return hashlib.sha256((salt + "".join(f"{len(p)}:{p}" for p in parts)).encode()).hexdigest()[32:]
@@ -115,7 +115,7 @@ def object_facts(text: str, salt: str = "", depth: int = MAX_DEPTH) -> tuple[lis
             elif isinstance(v, bool):
                 rows.append((key, f"=b:{str(v).lower()}", None))
             elif isinstance(v, _Number):
-                rows.append((key, _java(v.double() + 0.0), v.double()))
+                rows.append((key, constant_key(v.double() + 0.0), v.double()))
             else:
                 rows.append((key, f"=t:{v}", None))
 

@@ -1,15 +1,18 @@
 """RDF N-Triples to facts.
 
-Lines are parsed with regular expressions in the JVM; a malformed line is skipped. Ids follow from IRIs, so equal IRIs
-are equal entities everywhere. A literal becomes a value of the encoding of its datatype, or a text if it can't be read
+Lines are parsed by one regular expression, in Arrow batches; a malformed line is skipped. The rest is expressions. Ids
+follow from IRIs, so equal IRIs are equal entities everywhere. A literal becomes a value of the encoding of its datatype, or a text if it can't be read
 as one. A literal with a language is an entity of its own, with the text and the language as facts, the same for equal
 content. Blank nodes are resolved by content, from the leaves up.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,9 @@ from factloom.sources.facts import COLUMNS
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TEXT, RDF_LANG = "rdf.text", "rdf.lang"
 _IRI = r"<([^\x00-\x20<>\"{}|^`]*)>"
-_BNODE = r"_:([\p{L}\p{N}_][\p{L}\p{N}_.\-]*)"
-_LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^\x00-\x20<>]*)>|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?'
-_LINE = rf"^[ \t]*(?:{_IRI}|{_BNODE})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BNODE}|{_LITERAL})[ \t]*\.[ \t]*(?:#.*)?$"
+_BNODE = r"_:(\w(?:[\w.\-]*[\w\-])?)"
+_LITERAL = r'"((?:[^"\\\n\r]++|\\.)*)"(?:\^\^<([^\x00-\x20<>]*)>|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?'
+_LINE = re.compile(rf"[ \t]*(?:{_IRI}|{_BNODE})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BNODE}|{_LITERAL})[ \t]*\.[ \t]*(?:#.*)?$")
 
 _INTS = ["integer", "int", "long", "short", "byte", "negativeInteger", "nonPositiveInteger"]
 _UNSIGNED = ["nonNegativeInteger", "positiveInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte"]
@@ -34,30 +37,24 @@ def uri_to_id(uri: Column) -> Column:
     return F.substring(F.sha2(uri, 256), 33, 32)
 
 
-def unescape(text: Column) -> Column:
-    """Undoes the escapes of N-Triples strings. Pieces between backslashes are decoded one by one."""
-    plain = F.map_from_arrays(F.array(*[F.lit(x) for x in 'tnrbf"\'']), F.array(*[F.lit(x) for x in "\t\n\r\b\f\"'"]))
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))")
+_PLAIN = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
-    def point(hexadecimal: Column) -> Column:
-        code = F.conv(hexadecimal, 16, 10).cast("int")
-        high, low = 0xD800 + F.shiftright(code - 0x10000, 10), 0xDC00 + (code - 0x10000).bitwiseAND(0x3FF)
-        def unit(c: Column) -> Column:
-            return F.unhex(F.lpad(F.hex(c), 4, "0"))
-        return F.decode(F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low))), "UTF-16BE")
 
-    # a backslash pair is set aside first, so that every backslash left begins an escape
-    pieces = F.split(F.replace(text, F.lit("\\\\"), F.lit("\x00")), r"\\")
-    first = F.element_at(pieces, 1)
+def unescape(text: str) -> str | None:
+    """Undoes the escapes of N-Triples; None for one that isn't any, or that names no character."""
+    def one(m: re.Match) -> str:
+        if m[3] is not None:
+            return _PLAIN[m[3]]
+        code = int(m[1] or m[2], 16)
+        if 0xD800 <= code < 0xE000:
+            raise ValueError
+        return chr(code)
 
-    def piece(p: Column) -> Column:
-        c = F.substring(p, 1, 1)
-        long = F.when(c == "u", 4).when(c == "U", 8)
-        coded = F.concat(point(p.substr(F.lit(2), long)), p.substr(long + 2, F.length(p)))
-        return F.when(long.isNotNull(), coded).otherwise(F.concat(F.coalesce(F.try_element_at(plain, c), c), p.substr(F.lit(2), F.length(p))))
-
-    rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece), "")
-    done = F.replace(F.concat(first, rest), F.lit("\x00"), F.lit("\\"))
-    return F.when(F.contains(text, F.lit("\\")), done).otherwise(text)
+    try:
+        return _ESCAPE.sub(one, text) if "\\" in text else text
+    except (KeyError, ValueError, OverflowError):
+        return None
 
 
 @dataclass(frozen=True)
@@ -69,14 +66,27 @@ class Imported:
     triples: int
 
 
+_NAMES = ["subject", "subject_b", "predicate", "object", "object_b", "literal", "datatype", "lang"]
+
+
+def parse_line(line: str) -> tuple | None:
+    """The terms of a line in the order of ``_NAMES``, unescaped; None if it is no triple."""
+    m = _LINE.match(line)
+    if m is None:
+        return None
+    terms = [x if x is None else unescape(x) if i in (0, 2, 3, 5) else x for i, x in enumerate(m.groups())]
+    return None if any(x is None and y is not None for x, y in zip(terms, m.groups())) else tuple(terms)
+
+
 def _terms(lines: DataFrame) -> DataFrame:
-    """lines (doc, value) -> doc, subject, subject_b, predicate, object, object_b, literal, datatype, lang."""
-    def part(i: int) -> Column:
-        return F.regexp_extract("value", _LINE, i)
-    names = ["subject", "subject_b", "predicate", "object", "object_b", "literal", "datatype", "lang"]
-    rows = lines.where(F.col("value").rlike(_LINE)).select("doc", "value", *[F.nullif(part(i), F.lit("")).alias(n) for i, n in enumerate(names, 1)])
-    # an empty literal is a literal, which an unmatched group isn't
-    return rows.withColumn("literal", F.when(F.col("object").isNull() & F.col("object_b").isNull(), F.coalesce("literal", F.lit("")))).drop("value")
+    """lines (doc, value) -> doc and the terms of the lines that are triples."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(d, *t) for d, v in zip(b.column("doc").to_pylist(), b.column("value").to_pylist()) if v is not None and (t := parse_line(v)) is not None]
+            columns = zip(*rows) if rows else [[]] * (len(_NAMES) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["doc", *_NAMES])
+
+    return lines.mapInArrow(run, ", ".join(f"{n} string" for n in ["doc", *_NAMES]))
 
 
 def literal_struct(text: Column, datatype: Column) -> Column:
@@ -115,23 +125,23 @@ def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
     if "doc" not in lines.columns:
         lines = lines.withColumn("doc", F.lit(""))
     t = cut(_terms(lines.select("doc", "value")))
-    text = unescape(F.col("literal"))
+    text = F.col("literal")
     lang = F.lower("lang")
     lang_id = F.substring(F.sha2(F.concat(lang, F.lit("\x00"), text), 256), 33, 32)
     nothing = F.lit(None)
     plain_id = lambda c: F.struct(c.alias("v"), nothing.cast("bigint").alias("int"), nothing.cast("double").alias("num"))
-    value = F.when(F.col("object").isNotNull(), plain_id(uri_to_id(unescape(F.col("object")))))
+    value = F.when(F.col("object").isNotNull(), plain_id(uri_to_id(F.col("object"))))
     value = value.when(F.col("object_b").isNotNull(), plain_id(F.concat(F.lit("_:"), F.col("doc"), F.lit("\x1f"), F.col("object_b"))))
     value = value.when(F.col("lang").isNotNull(), plain_id(lang_id)).otherwise(literal_struct(text, F.col("datatype")))
-    subject = F.coalesce(uri_to_id(unescape(F.col("subject"))), F.concat(F.lit("_:"), F.col("doc"), F.lit("\x1f"), F.col("subject_b")))
-    main = t.select(subject.alias("e"), unescape(F.col("predicate")).alias("a"), value.alias("x")).select("e", "a", "x.*")
+    subject = F.coalesce(uri_to_id(F.col("subject")), F.concat(F.lit("_:"), F.col("doc"), F.lit("\x1f"), F.col("subject_b")))
+    main = t.select(subject.alias("e"), F.col("predicate").alias("a"), F.inline(F.array(value)))  # taken apart by a generator, so that the cases aren't evaluated for each of its columns
     tagged = t.where("lang is not null").select(lang_id.alias("e"), text.alias("text"), lang.alias("lang")).distinct()
     tk = encoding("text")
     more = tagged.select("e", F.lit(RDF_TEXT).alias("a"), tk.key(F.col("text")).alias("v")).unionByName(tagged.select("e", F.lit(RDF_LANG).alias("a"), tk.key(F.col("lang")).alias("v")))
     facts = main.unionByName(more.withColumns({"int": nothing.cast("bigint"), "num": nothing.cast("double")})).dropDuplicates(["e", "a", "v"])
     if resolve_blank:
         facts = resolve_blank_nodes(facts)
-    iris = t.select(F.explode(F.array("subject", "predicate", "object")).alias("uri")).where("uri is not null").select(unescape(F.col("uri")).alias("uri")).distinct()
+    iris = t.select(F.explode(F.array("subject", "predicate", "object")).alias("uri")).where("uri is not null").distinct()
     return Imported(facts.select(*COLUMNS), iris.select(uri_to_id(F.col("uri")).alias("id"), "uri"), t.count())
 
 
