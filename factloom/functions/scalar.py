@@ -177,3 +177,35 @@ def classify(content: Column) -> Column:
     image = head.startswith("89504E470D0A1A0A") | head.startswith("FFD8FF") | head.startswith("47494638") | head.startswith("424D") | (head.startswith("52494646") & head.endswith("57454250"))
     text = F.is_valid_utf8(content.cast("string")) & ~F.contains(content.cast("string"), F.lit("\x00"))
     return F.when(image, "image").when(head.startswith("255044462D"), "pdf").when(text, "text").otherwise("other")
+
+
+def tensor(dims: Column, values: Column) -> Column:
+    """struct(dims, values); null where the values aren't as many as the dimensions say."""
+    size = F.aggregate(dims, F.lit(1).cast("bigint"), lambda n, d: n * d)
+    return F.when(size == F.size(values), F.struct(dims.alias("dims"), values.alias("values")))
+
+
+def tensor_at(x: Column, *index: int) -> Column:
+    """The element at an index of a tensor in row-major order; null outside."""
+    at = F.lit(0).cast("bigint")
+    inside = F.size(x["dims"]) == len(index)
+    for k, i in enumerate(index):
+        at = at * F.try_element_at(x["dims"], F.lit(k + 1)) + i
+        inside = inside & (F.lit(i) < F.try_element_at(x["dims"], F.lit(k + 1)))
+    return F.when(inside, F.try_element_at(x["values"], (at + 1).cast("int")))
+
+
+def time_prefixed_id(at: Column, key: Column) -> Column:
+    """An id of 32 hexadecimal digits: four bytes of the time in milliseconds, which wraps, and a hash of the key. Equal
+    input has an equal id, so reruns agree."""
+    ms = F.pmod(F.unix_millis(at), F.lit(1 << 32))
+    return F.concat(F.lower(F.lpad(F.hex(ms), 8, "0")), F.substring(F.sha2(key.cast("string"), 256), 1, 24))
+
+
+def counter_id(space: str, number: Column) -> Column:
+    """An id of a namespace and a counter: the counter, exclusive-or a mask that follows from the namespace."""
+    import hashlib
+
+    mask = hashlib.sha256(space.encode()).hexdigest()
+    low = number.cast("bigint").bitwiseXOR(F.lit(int(mask[16:32], 16) - (1 << 63)))
+    return F.concat(F.lit(mask[:16]), F.lower(F.lpad(F.hex(low), 16, "0")))

@@ -83,3 +83,30 @@ def top_k_per_query(queries: DataFrame, vectors: DataFrame, k: int, key: str = "
         best = pairs.select("query", key, cosine(F.col("q"), F.col(vector)).alias("cosine")).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out.select("query", "rank", key, "cosine")
+
+
+def hyperplane_codes(vector: Column, tables: int, bits: int, dims: int, seed: int = 1) -> Column:
+    """An array of ``tables`` codes: the signs of ``bits`` random projections each. Signs of the planes are hash bits."""
+    at = F.sequence(F.lit(0), F.lit(dims - 1))
+
+    def code(t: int) -> Column:
+        # the 64 bits of one hash a dimension give that dimension's sign in each of the table's planes
+        signs = F.transform(at, lambda i: F.xxhash64(F.lit(seed), F.lit(t), i))
+        out = F.lit(0).cast("bigint")
+        for b in range(bits):
+            side = F.aggregate(F.zip_with(vector, signs, lambda x, h: F.when(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) == 1, x.cast("double")).otherwise(-x.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+            out = out + F.when(side >= 0, F.lit(1 << b)).otherwise(F.lit(0))
+        return F.struct(F.lit(t).alias("table"), out.alias("code"))
+
+    return F.array(*[code(t) for t in range(tables)])
+
+
+def approximate_pairs(queries: DataFrame, vectors: DataFrame, floor: float, dims: int, key: str = "handle", vector: str = "vec", tables: int = 12, bits: int = 6) -> DataFrame:
+    """(query, key, cosine) at least ``floor``, of the pairs that share the code of a table: an opt-in for inputs on which
+    the exact scan is too long. What it gives is right, since cosines are computed; a pair may be missed, the more seldom
+    the higher its cosine and the more tables there are."""
+    _check(None, floor)
+    q = queries.select("query", F.col("vec").alias("q"), F.explode(hyperplane_codes(F.col("vec"), tables, bits, dims)).alias("c")).select("query", "q", "c.*")
+    v = vectors.select(key, vector, F.explode(hyperplane_codes(F.col(vector), tables, bits, dims)).alias("c")).select(key, vector, "c.*")
+    near = q.join(v, ["table", "code"]).withColumn("cosine", cosine(F.col("q"), F.col(vector))).where(F.col("cosine") >= floor)
+    return near.groupBy("query", key).agg(F.max("cosine").alias("cosine"))

@@ -312,3 +312,35 @@ def test_digests(spark):
     assert sets.digests(a.facts(), 1).agg(F.sum("n")).first()[0] == 50
 
 
+
+
+# Grammars
+
+
+def test_grammar():
+    from factloom.operators import grammar as g
+
+    leaf = g.Construction("leaf", lambda n, c: isinstance(n, str), (), lambda i: i.node)
+    item = g.Construction("item", lambda n, c: isinstance(n, dict), (g.Constituent(g.Field("v"), g.Child("leaf")), g.Constituent(g.Field("note"), g.Drop("a note"), optional=True)), lambda i: {"item": i.parts[0][0]})
+    all_ = g.Construction("list", lambda n, c: isinstance(n, list), (g.Constituent(g.Each(), g.Child("item")),), lambda i: i.parts[0])
+    book = g.Grammar([leaf, item, all_])
+    assert book.cover([{"v": "a"}, {"v": "b", "note": [1]}], "list") == ([{"item": "a"}, {"item": "b"}], [])
+    image, found = book.cover([{"v": "a", "x": "y"}, {}, {"v": [1]}], "list")
+    assert image is None and [f.path for f in found] == ["$[0]", "$[1]", "$[2].v"] and "leaves" in found[0].problem and "lacks" in found[1].problem
+    twice = g.Grammar([leaf, leaf, item, all_])
+    assert twice.count([{"v": "a"}], "list") == 2 and "2 constructions" in twice.cover([{"v": "a"}], "list")[1][0].problem
+    with pytest.raises(ValueError, match="twice"):
+        g.Grammar([g.Construction("x", lambda n, c: True, (g.Constituent(g.Field("a"), g.Bind()), g.Constituent(g.EachField(), g.Bind())), lambda i: None)])
+    context = g.Construction("pair", lambda n, c: isinstance(n, dict), (g.Constituent(g.EachField(), g.Child(lambda n, c, m: "leaf:" + m)),), lambda i: len(i.parts[0]))
+    assert g.Grammar([g.Construction("leaf", lambda n, c: n == c.split(":")[1], (), lambda i: i.category), context]).count({"a": "a", "b": "b"}, "pair") == 1
+
+
+def test_approximate_neighbours(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(200)]
+    rows += [(1000 + i, [x + rng.gauss(0, 0.1) for x in v]) for i, v in rows[:60]]
+    df = spark.createDataFrame(rows, "handle long, vec array<double>")
+    q = df.where("handle < 60").select(F.col("handle").alias("query"), "vec")
+    got = {(r["query"], r["handle"]) for r in vectors.approximate_pairs(q, df, 0.9, 16).collect()}
+    want = {(r["query"], r["handle"]) for r in vectors.top_k_per_query(q, df, 260).where("cosine >= 0.9").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
