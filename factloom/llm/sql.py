@@ -30,7 +30,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 _OP5 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS g FROM (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 100)) AS i FROM d WHERE length(x) >= 200)),
+c AS (SELECT doc_id, k, length(x) // 2 AS n, substr(x, 200 * k + 1, 400) AS y FROM (SELECT doc_id, x, unnest(generate_series(0, (length(x) // 2 - 100) // 100)) AS k FROM d WHERE length(x) >= 200)),
+p AS (SELECT doc_id, 100 * k + j AS i, substr(y, 2 * j + 1, 200) AS g FROM (SELECT doc_id, k, y, unnest(generate_series(0, least(99, n - 100 - 100 * k))) AS j FROM c)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(g) ORDER BY doc_id, i) AS n FROM p) WHERE n > 1),
 marked AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
   FROM (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100)::INT AS new FROM again)),
