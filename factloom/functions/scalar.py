@@ -82,27 +82,21 @@ def parse_duration(text: Column) -> Column:
     return F.when(some, F.when(F.regexp_extract(text, _DURATION, 1) == "-", -total).otherwise(total))
 
 
-def parse_time(text: Column, kind: str) -> Column:
+def parse_time(text: Column, kind: str | Column) -> Column:
     """Interval of nanoseconds, since 1970 in UTC, that an xsd dateTime, date, gYearMonth or gYear covers; null if it
-    can't be read. A value without a time zone is taken as UTC. Precision is microseconds."""
-    zone = F.nullif(F.regexp_extract(text, r"(Z|[+-]\d\d:\d\d)$", 1), F.lit(""))
-    body = F.regexp_replace(text, r"(Z|[+-]\d\d:\d\d)$", "") if kind != "dateTime" else text
-    suffix = F.coalesce(zone, F.lit("Z"))
-    if kind == "dateTime":
-        ok = text.rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$")
-        start = F.when(zone.isNull(), F.concat(text, F.lit("Z"))).otherwise(text)
-        first = F.when(ok, F.unix_micros(start.try_cast("timestamp")))
-        last = first
-    else:
-        shape, pad, months, days = {"date": (r"^\d{4}-\d\d-\d\d$", "", 0, 1), "gYearMonth": (r"^\d{4}-\d\d$", "-01", 1, 0), "gYear": (r"^\d{4}$", "-01-01", 12, 0)}[kind]
-        day0 = F.concat(body, F.lit(pad)).try_cast("date")
-        day1 = F.date_add(F.add_months(day0, months), days)
-        def at(d: Column) -> Column:
-            return F.unix_micros(F.concat(d.cast("string"), F.lit("T00:00:00"), suffix).try_cast("timestamp"))
-        ok = body.rlike(shape)
-        first, last = F.when(ok, at(day0)), F.when(ok, at(day1))
-    lower = F.try_multiply(first, F.lit(1000))
-    upper = lower if kind == "dateTime" else F.try_multiply(last, F.lit(1000)) - 1
+    can't be read, or for another kind. A value without a time zone is taken as UTC. Precision is microseconds."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    zone = F.regexp_extract(text, r"(Z|[+-]\d\d:\d\d)$", 1)
+    body = text.substr(F.lit(1), F.length(text) - F.length(zone))
+    months, days = F.when(kind == "gYear", 12).when(kind == "gYearMonth", 1).otherwise(0), F.when(kind == "date", 1).otherwise(0)
+    shape = F.when(kind == "date", r"^\d{4}-\d\d-\d\d$").when(kind == "gYearMonth", r"^\d{4}-\d\d$").when(kind == "gYear", r"^\d{4}$").when(kind == "dateTime", r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$")
+    first = F.concat(F.rpad(body, 10, "-01-01"), F.lit("T00:00:00"))  # 2020 and 2020-05 are filled up to their first day
+    stamp = F.concat(F.when(kind == "dateTime", body).otherwise(first), F.when(zone == "", "Z").otherwise(zone)).try_cast("timestamp")
+    lower = F.when(F.rlike(body, shape), F.try_multiply(F.unix_micros(stamp), F.lit(1000)))
+    # whole days of the calendar, so that the zone plays no part in the length
+    day = F.substring(first, 1, 10).try_cast("date")
+    length = F.datediff(F.date_add(F.add_months(day, months), days), day).cast("bigint") * 86_400_000_000_000
+    upper = F.when(kind == "dateTime", lower).otherwise(F.try_add(lower, length - 1))
     return F.when(lower.isNotNull() & upper.isNotNull(), F.struct(lower.alias("lower"), upper.alias("upper")))
 
 

@@ -89,35 +89,37 @@ def _terms(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, ", ".join(f"{n} string" for n in ["doc", *_NAMES]))
 
 
-def literal_struct(text: Column, datatype: Column) -> Column:
-    """struct(v, int, num) of a typed literal; text where the datatype is unknown or the text doesn't fit it."""
+def readings(text: Column, datatype: Column) -> Column:
+    """struct of a literal's reading as each encoding that its datatype may ask for, null where it doesn't or the text
+    doesn't fit."""
     short = F.when(datatype.startswith(XSD), F.substring(datatype, len(XSD) + 1, 1000))
     whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
     exact = F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), text.try_cast("decimal(38,18)"))
     spelled = F.replace(F.replace(text, F.lit("INF"), F.lit("Infinity")), F.lit("+"), F.lit(""))
     number = F.when(text.rlike(r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$"), spelled.try_cast("double"))
     truth = F.when(text.isin("true", "1"), F.lit(True)).when(text.isin("false", "0"), F.lit(False))
-    raw_hex = F.when(text.rlike(r"^([0-9a-fA-F]{2})*$"), F.try_to_binary(text, F.lit("hex")))
-    raw_64 = F.try_to_binary(text, F.lit("base64"))
-    cases = [
-        (short.isin(*_INTS), "int", whole),
-        (short.isin(*_UNSIGNED) & ~text.startswith("-"), "int", whole),
-        (short == "decimal", "decimal", exact),
-        (short.isin("double", "float"), "float", number),
-        (short == "boolean", "bool", truth),
-        *[(short == k, "interval", scalar.parse_time(text, k)) for k in ("dateTime", "date", "gYear", "gYearMonth")],
-        (short.isin("duration", "dayTimeDuration"), "duration", scalar.parse_duration(text)),
-        (short == "hexBinary", "bytes", raw_hex),
-        (short == "base64Binary", "bytes", raw_64),
-    ]
-    def made(name: str, value: Column) -> Column:
-        e = encoding(name)
-        return F.struct(e.key(value).alias("v"), e.int(value).alias("int"), e.num(value).alias("num"))
-    link = F.struct(uri_to_id(text).alias("v"), F.lit(None).cast("bigint").alias("int"), F.lit(None).cast("double").alias("num"))
-    out = F.when(short == "anyURI", link)
-    for when, name, value in cases:
-        out = out.when(when & value.isNotNull(), made(name, value))
-    return out.otherwise(made("text", text))
+    raw = F.when((short == "hexBinary") & text.rlike(r"^([0-9a-fA-F]{2})*$"), F.try_to_binary(text, F.lit("hex"))).when(short == "base64Binary", F.try_to_binary(text, F.lit("base64")))
+    return F.struct(
+        F.when(short.isin(*_INTS) | (short.isin(*_UNSIGNED) & ~text.startswith("-")), whole).alias("as_int"),
+        F.when(short == "decimal", exact).alias("as_decimal"),
+        F.when(short.isin("double", "float"), number).alias("as_float"),
+        F.when(short == "boolean", truth).alias("as_bool"),
+        scalar.parse_time(text, short).alias("as_interval"),
+        F.when(short.isin("duration", "dayTimeDuration"), scalar.parse_duration(text)).alias("as_duration"),
+        raw.alias("as_bytes"),
+        F.when(short == "anyURI", uri_to_id(text)).alias("as_id"),
+    )
+
+
+def literal_struct(text: Column) -> Column:
+    """struct(v, int, num) of a literal from the columns of its readings; a text if there is none."""
+    out = None
+    for name in ("int", "decimal", "float", "bool", "interval", "duration", "bytes", "id"):
+        e, value = encoding(name), F.col(f"as_{name}")
+        made = F.struct(e.key(value).alias("v"), e.int(value).alias("int"), e.num(value).alias("num"))
+        out = F.when(value.isNotNull(), made) if out is None else out.when(value.isNotNull(), made)
+    e = encoding("text")
+    return out.otherwise(F.struct(e.key(text).alias("v"), e.int(text).alias("int"), e.num(text).alias("num")))
 
 
 def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
@@ -125,6 +127,8 @@ def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
     if "doc" not in lines.columns:
         lines = lines.withColumn("doc", F.lit(""))
     t = cut(_terms(lines.select("doc", "value")))
+    # taken apart by a generator, so that a reading is computed once and not for each column that follows from it
+    read = t.select("*", F.inline(F.array(readings(F.col("literal"), F.col("datatype")))))
     text = F.col("literal")
     lang = F.lower("lang")
     lang_id = F.substring(F.sha2(F.concat(lang, F.lit("\x00"), text), 256), 33, 32)
@@ -132,9 +136,9 @@ def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
     plain_id = lambda c: F.struct(c.alias("v"), nothing.cast("bigint").alias("int"), nothing.cast("double").alias("num"))
     value = F.when(F.col("object").isNotNull(), plain_id(uri_to_id(F.col("object"))))
     value = value.when(F.col("object_b").isNotNull(), plain_id(F.concat(F.lit("_:"), F.col("doc"), F.lit("\x1f"), F.col("object_b"))))
-    value = value.when(F.col("lang").isNotNull(), plain_id(lang_id)).otherwise(literal_struct(text, F.col("datatype")))
+    value = value.when(F.col("lang").isNotNull(), plain_id(lang_id)).otherwise(literal_struct(text))
     subject = F.coalesce(uri_to_id(F.col("subject")), F.concat(F.lit("_:"), F.col("doc"), F.lit("\x1f"), F.col("subject_b")))
-    main = t.select(subject.alias("e"), F.col("predicate").alias("a"), F.inline(F.array(value)))  # taken apart by a generator, so that the cases aren't evaluated for each of its columns
+    main = read.select(subject.alias("e"), F.col("predicate").alias("a"), F.inline(F.array(value)))
     tagged = t.where("lang is not null").select(lang_id.alias("e"), text.alias("text"), lang.alias("lang")).distinct()
     tk = encoding("text")
     more = tagged.select("e", F.lit(RDF_TEXT).alias("a"), tk.key(F.col("text")).alias("v")).unionByName(tagged.select("e", F.lit(RDF_LANG).alias("a"), tk.key(F.col("lang")).alias("v")))
