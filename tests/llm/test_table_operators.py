@@ -114,6 +114,16 @@ def test_simple_tree_matching():
     assert [(x[0], x[1], x[2]) for x in m[3]] == [("a", 1, 1), ("b", 2, None), ("d", 1, 1), ("c", 2, 1)]
 
 
+def test_wrapper_keeps_every_node(spark):
+    """However many nodes come before it, an article of constant inline text isn't taken for a leaf."""
+    rows = []
+    for i in range(8):
+        odd = "".join(f"<div class='{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}'><p>x</p></div>" for j in range(80))
+        rows.append((i, "https://wide.example/", page(f"{odd}<article><h1>title {i}</h1><div><div><p>body {i}</p></div></div><section><p>Signed by all</p></section></article>")))
+    got = html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"title {i}\nbody {i}" for i in range(8)}
+
+
 # Exact top-k
 
 
