@@ -124,6 +124,18 @@ def test_wrapper_keeps_every_node(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"title {i}\nbody {i}" for i in range(8)}
 
 
+def test_pages_are_aligned_as_learnt(spark):
+    """A page without an optional constant block keeps the block of the same label that stands in its place."""
+    with_note = [(i, "https://note.example/", page(f"<article><h1>title {i}</h1><p>Note to all</p><h2>part {i}</h2><p>body {i}</p></article>")) for i in range(9)]
+    without = [(i, "https://note.example/", page(f"<article><h1>title {i}</h1><p>body {i}</p></article>")) for i in range(9, 12)]
+    want = {i: f"title {i}\npart {i}\nbody {i}" for i in range(9)} | {i: f"title {i}\nbody {i}" for i in range(9, 12)}
+    got = html_wrapper.extract(spark.createDataFrame(with_note + without, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+    leaf = lambda x, n, t: [x, n, t, []]
+    template = ["", 9, 0, [leaf("p", 9, 5), leaf("h1", 9, None)]]
+    assert html_wrapper._constants(html_wrapper.parse("<p>of this page</p><h1>title</h1>"), template) == (set(), True)
+
+
 # Exact top-k
 
 
