@@ -134,7 +134,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     other columns of ``docs`` play no part.
     """
     fps = cut(fingerprint(docs, key, text, width))
-    found = components(links(fps))
+    return grouped(fps, links(fps), key)
+
+
+def grouped(fps: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint string, component_id) of rows (key, fp) whose fingerprints are linked by ``linked`` (u, v)."""
+    found = components(linked)
     of = fps.groupBy("fp").agg(F.min("key").alias("least")).join(found, F.col("fp") == F.col("node"), "left")
     of = of.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -148,10 +153,15 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     Rows that repeat the surviving key are one document repeated: the first in the order of the text stays.
     """
-    groups = cut(near_duplicates(docs, key, text, width))
+    return stay(docs, near_duplicates(docs, key, text, width), key, text)
+
+
+def stay(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` of the smallest key of each component of ``named`` (key, component_id)."""
+    groups = cut(named)
     kept = groups.groupBy("component_id").agg(F.min(key).alias("kept")).select("kept").distinct()
-    stay = docs.join(kept, docs[key].eqNullSafe(kept["kept"]), "left_semi")
+    rest = docs.join(kept, docs[key].eqNullSafe(kept["kept"]), "left_semi")
     if groups.groupBy(key).count().where("count > 1").isEmpty():
-        return stay
-    once = stay.groupBy(key).agg(F.min_by(F.struct(*stay.columns), F.coalesce(F.col(text), F.lit(""))).alias("row"))
+        return rest
+    once = rest.groupBy(key).agg(F.min_by(F.struct(*rest.columns), F.coalesce(F.col(text), F.lit(""))).alias("row"))
     return once.select("row.*")

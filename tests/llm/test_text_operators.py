@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, language_id, simhash_dedup, suffix_dedup, token_count, toxicity
+from factloom.llm import decontam, language_id, shingle_dedup, simhash_dedup, suffix_dedup, token_count, toxicity
 from factloom.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,6 +153,31 @@ def test_near_duplicates_odd(spark):
     assert simhash_dedup.keep_first(odd_docs(spark)).where("doc_id = 4").count() == 1
 
 
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    """The pipeline's stage finds all pairs of a Jaccard similarity of 0.8 over five words, against all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    say = lambda n: [str(rng.randint(0, 999)) for _ in range(n)]
+    line, rows = say(30), []
+    for i in range(30):
+        words = say(rng.choice([3, 12, 60, 300])) + (line if i % 2 else [])
+        for _ in range(5):
+            w = list(words)
+            for _ in range(rng.choice([0, 1, 2, 4, 7])):
+                w[rng.randrange(len(w))] = "odd"
+            rows.append((len(rows) * 7 % 150, " ".join(w)))
+    rows = sorted([*rows, (500, None), (501, " "), (502, "")])
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    roots = brute_components(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
+    want = {rows[i][0]: rows[r][0] for i, r in enumerate(roots)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(want.values())
+    for n in (1, 100):
+        monkeypatch.setattr(shingle_dedup, "FREQUENT", n)
+        assert {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_copies(df).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert [r[0] for r in components(links).select("root").distinct().collect()] == [0]
