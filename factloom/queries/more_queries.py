@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalar
@@ -28,6 +29,16 @@ def v4_approximate_neighbours(spark, d):
     return near.groupBy("query").agg(F.max((F.col("query") == F.col("handle")) & (F.col("cosine") > 0.999)).alias("found"))
 
 
+@query(None)
+def v4_approximate_top_k(spark, d):
+    """Ten neighbours of each query row by codes; no SQL, since some are missed. The tests hold recall to 0.9."""
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
+    q = t.where("handle % 20 = 0").select(F.col("handle").alias("query"), "vec")
+    near = vectors.approximate_pairs(q, t, -1.0, 64, tables=20, bits=4)
+    place = Window.partitionBy("query").orderBy(F.desc("cosine"), "handle")
+    return near.withColumn("rank", F.row_number().over(place)).where("rank <= 10").select("query", F.col("handle").alias("vec_id"), "cosine")
+
+
 @query("SELECT vec_id AS k, embedding[2 * 16 + 5 + 1]::DOUBLE AS x, NULL::DOUBLE AS outside FROM embeddings")
 def f25_tensors(spark, d):
     t = table(spark, d, "embeddings")

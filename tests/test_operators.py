@@ -344,3 +344,17 @@ def test_approximate_neighbours(spark):
     got = {(r["query"], r["handle"]) for r in vectors.approximate_pairs(q, df, 0.9, 16).collect()}
     want = {(r["query"], r["handle"]) for r in vectors.top_k_per_query(q, df, 260).where("cosine >= 0.9").collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_recall_of_approximate_top_k(spark):
+    """The approximate query gives nine of ten true neighbours of every row whose id 20 divides, with right cosines."""
+    from factloom.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r["query"], r["vec_id"]): r["cosine"] for r in QUERIES["v4_approximate_top_k"](spark, sf).collect()}
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
+    q = t.where("handle % 20 = 0").select(F.col("handle").alias("query"), "vec")
+    want = {(r["query"], r["handle"]): r["cosine"] for r in vectors.top_k_per_query(q, t, 10).collect()}
+    assert {a for a, _ in got} == {a for a, _ in want} and len(want) == 250
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got.keys() & want.keys())
