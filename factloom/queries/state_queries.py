@@ -68,6 +68,15 @@ def r3_sole_or_fork(spark, d):
     return got.select("register", "kind", F.coalesce(F.size("fork"), F.lit(1)).alias("n"))
 
 
+@query("SELECT 'user/' || user_id AS register, CASE WHEN count(*) = 1 THEN 'sole' ELSE 'fork' END AS kind, count(*)::INT AS n FROM events e WHERE event_id % 10 = 7 OR ts = (SELECT max(ts) FROM events f WHERE f.user_id = e.user_id AND f.event_id % 10 <> 7) GROUP BY user_id")
+def r3_sole_or_fork_all(spark, d):
+    """Whole registers: what the stated order over all events leaves of each."""
+    g = _events(spark, d)
+    df = find([Var("register"), Var("state")], Pattern(g, Var("state"), REGISTER, Var("register")))
+    got = registers.sole(registers.maximal(df, "state", registers.StatedOrder(g, "register", "at", by="int")), "register", "state")
+    return got.select("register", "kind", F.coalesce(F.size("fork"), F.lit(1)).alias("n"))
+
+
 @query(f"SELECT 'event/' || event_id AS state FROM events WHERE event_id % 3 = 0 AND event_id NOT IN (SELECT k FROM {_OBSERVED})")
 def r7_heads(spark, d):
     """Heads of two parts, joined, are those of the whole."""

@@ -358,3 +358,21 @@ def test_recall_of_approximate_top_k(spark):
     assert {a for a, _ in got} == {a for a, _ in want} and len(want) == 250
     assert len(got.keys() & want.keys()) >= 0.9 * len(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got.keys() & want.keys())
+
+
+def test_sole_or_fork_of_whole_registers(spark):
+    """Every user of the events has a row, with as many survivors as a plain count finds."""
+    from factloom.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").collect()
+    last: dict = {}
+    for r in rows:
+        if r["event_id"] % 10 != 7:
+            last[r["user_id"]] = max(last.get(r["user_id"], r["ts"]), r["ts"])
+    want: dict = {}
+    for r in rows:
+        if r["event_id"] % 10 == 7 or r["ts"] == last[r["user_id"]]:
+            want[f"user/{r['user_id']}"] = want.get(f"user/{r['user_id']}", 0) + 1
+    got = {r["register"]: (r["kind"], r["n"]) for r in QUERIES["r3_sole_or_fork_all"](spark, sf).collect()}
+    assert got == {k: ("sole" if n == 1 else "fork", n) for k, n in want.items()}
