@@ -124,6 +124,12 @@ def f24_timestamp_distance(spark, d):
     return t.select(F.col("event_id").alias("k"), scalar.timestamp_distance(F.col("event_id"), F.lit(5000), 10).alias("dist"))
 
 
+@query("SELECT event_id AS k, ((event_id - 5000) % 1024 + 1024) % 1024 AS dist FROM events")
+def f24_timestamp_distance_all(spark, d):
+    t = table(spark, d, "events")
+    return t.select(F.col("event_id").alias("k"), scalar.timestamp_distance(F.col("event_id"), F.lit(5000), 10).alias("dist"))
+
+
 @query("SELECT 'region' AS a, count(*) AS n FROM region UNION ALL SELECT 'name', count(*) FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'code', 2 * count(*) FROM region")
 def x3_entities(spark, d):
     """An optional attribute leaves nulls out; a repeated one gives a fact for each element."""

@@ -376,3 +376,13 @@ def test_sole_or_fork_of_whole_registers(spark):
             want[f"user/{r['user_id']}"] = want.get(f"user/{r['user_id']}", 0) + 1
     got = {r["register"]: (r["kind"], r["n"]) for r in QUERIES["r3_sole_or_fork_all"](spark, sf).collect()}
     assert got == {k: ("sole" if n == 1 else "fork", n) for k, n in want.items()}
+
+
+def test_timestamp_distance_of_all_events(spark):
+    """Also of events far before the stamp, where the distance wraps around."""
+    from factloom.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    keys = [r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
+    got = {r["k"]: r["dist"] for r in QUERIES["f24_timestamp_distance_all"](spark, sf).collect()}
+    assert got == {k: (k - 5000) % 1024 for k in keys} and min(got) < 3976
