@@ -125,6 +125,14 @@ def k5_cosine_top_k_per_query(spark, d):
     return vectors.top_k_per_query(q, t, 3).select("query", "handle", F.round("cosine", 6).alias("cosine"))
 
 
+@query(f"SELECT a.vec_id AS query, b.vec_id AS handle, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 3")
+def k5_cosine_top_k_per_query_all(spark, d):
+    """The whole query set: every row whose id 20 divides."""
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
+    q = t.where("handle % 20 = 0").select(F.col("handle").alias("query"), "vec")
+    return vectors.top_k_per_query(q, t, 3).select("query", "handle", F.round("cosine", 6).alias("cosine"))
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE {_COS} >= 0.1")
 def j16_similarity_join(spark, d):
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))

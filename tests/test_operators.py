@@ -386,3 +386,12 @@ def test_timestamp_distance_of_all_events(spark):
     keys = [r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
     got = {r["k"]: r["dist"] for r in QUERIES["f24_timestamp_distance_all"](spark, sf).collect()}
     assert got == {k: (k - 5000) % 1024 for k in keys} and min(got) < 3976
+
+
+def test_top_k_of_the_whole_query_set(spark):
+    from factloom.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    got = QUERIES["k5_cosine_top_k_per_query_all"](spark, sf).groupBy("query").count().collect()
+    assert {r["query"] for r in got} == want and {r["count"] for r in got} == {3}
