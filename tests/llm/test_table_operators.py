@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -106,12 +107,103 @@ def test_wrappers_joined_when_large(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"text {i}" for i in range(9)}
 
 
+def tree(label, *children, text=None):
+    w = html_wrapper.Wrapper(label, text=text)
+    w.children = list(children)
+    w.finish()
+    return w
+
+
 def test_simple_tree_matching():
-    leaf = lambda x, t=1: [x, 1, t, []]
-    a = ["r", 1, 0, [leaf("a"), leaf("b", 5), leaf("c")]]
-    b = ["r", 1, 0, [leaf("b", 6), leaf("d"), leaf("c")]]
+    a = tree("r", tree("a", text=1), tree("b", text=5), tree("c", text=1), text=0)
+    b = tree("r", tree("b", text=6), tree("d", text=1), tree("c", text=1), text=0)
     m = html_wrapper.merge(a, b)
-    assert [(x[0], x[1], x[2]) for x in m[3]] == [("a", 1, 1), ("b", 2, None), ("d", 1, 1), ("c", 2, 1)]
+    assert [(x.label, x.pages, x.text) for x in m.children] == [("a", 1, 1), ("b", 2, None), ("d", 1, 1), ("c", 2, 1)]
+
+
+def test_alignment_is_the_best():
+    """The weight of an alignment against a search of all alignments; flat rows give the same tree."""
+    rng = random.Random(5)
+
+    def grown(depth):
+        return tree(rng.choice("ab"), *[grown(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)])
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        most = max(best(x[1:], y), best(x, y[1:]))
+        if x[0].label == y[0].label:
+            most = max(most, 1 + best(x[0].children, y[0].children) + best(x[1:], y[1:]))
+        return most
+
+    for _ in range(200):
+        a, b = tree("r", *[grown(2) for _ in range(3)]), tree("r", *[grown(2) for _ in range(3)])
+        assert html_wrapper._weight(a, b, {}) == 4 * (1 + best(a.children, b.children))
+        m = html_wrapper.merge(a, b)
+        assert m.size == a.size + b.size - 1 - best(a.children, b.children)
+        assert html_wrapper.flat(html_wrapper.raised(html_wrapper.flat(m))) == html_wrapper.flat(m)
+
+
+def test_deep_and_broken_pages():
+    """Ten thousand open elements and a megabyte of broken markup take seconds, and text is kept."""
+    for text, want in [
+        ("<div>" * 10_000 + "deep" + "</div>" * 10_000 + "<p>after", "deep\nafter"), ("<div class='ad'>" * 800 + "x", "x"),
+        ("<p a=" * 200_000, "<p a=" * 199_999 + "<p a="), ("<b>" * 5000 + "</x>" * 100_000 + "t", "t"),
+        ("<title>" * 30_000 + "t", "t"), ("<p " + "a" * 1_000_000 + ">t", "t"), ("<p>" + "word " * 200_000, ("word " * 200_000).strip()),
+    ]:
+        began = time.perf_counter()
+        w = html_wrapper.skeleton(html_wrapper.parse(text))
+        both = html_wrapper.merge(w, html_wrapper.raised(html_wrapper.flat(w)))
+        assert html_wrapper.main_text(text, None) == want == html_wrapper.main_text(text, both)
+        assert time.perf_counter() - began < 20
+
+
+def test_classes_alone_drop_no_article_text():
+    for body, want in [
+        ("<article><p>Hi</p><div class='related-work'><p>Body section</p></div></article>", "Hi\nBody section"),
+        ("<article><p>Hi</p><div class='share-price'>Up 3</div><object>fallback</object></article>", "Hi\nUp 3\nfallback"),
+        ("<article><p>Hi</p><div class='ad'>buy</div><div id='commentList'>no</div></article>", "Hi"),
+    ]:
+        assert html_wrapper.main_text(page(body), None) == want
+
+
+def whole_wrapper(texts):
+    """One host's wrapper, as the job makes it, without Spark."""
+    found = {}
+    for t in texts:
+        w = html_wrapper.skeleton(html_wrapper.parse(t))
+        found[w.shape] = html_wrapper.merge(found[w.shape], w) if w.shape in found else w
+    out = None
+    for _, w in sorted(found.items()):
+        out = w if out is None else html_wrapper.merge(out, w)
+    return out
+
+
+def test_slots_alone_choose_the_content(spark):
+    """On the supplied pages the aligned trees alone, without a mark, give the text that the marks give."""
+    by = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(html_wrapper.host(F.col("url")).alias("h"), "html").collect():
+        by[r["h"]].append(r["html"])
+    tried = 0
+    for texts in by.values():
+        w = whole_wrapper(texts)
+        if w.pages >= html_wrapper.SUPPORT:
+            for t in texts:
+                tried += 1
+                assert html_wrapper.main_text(t, w, marks=False) == html_wrapper.main_text(t, None) != ""
+    assert tried > 140
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    parts = ["<div><ul><li>a</ul></div>", "<div class='x1'><p>b</div>", "<section><h3>c</h3></section>", "<div><p>d<p>e</div>", "<table><tr><td>f</table>"]
+    rows = [(i, "https://mixed.example/", page("".join(rng.choices(parts, k=rng.randint(1, 6))) + f"<div><h1>t{i}</h1><p>body {i}</p></div>")) for i in range(60)]
+    found = []
+    for n in (1, 3, 8):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        found.append([tuple(r) for r in html_wrapper.wrappers(df).collect()])
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1
 
 
 def test_wrapper_keeps_every_node(spark):
@@ -131,9 +223,9 @@ def test_pages_are_aligned_as_learnt(spark):
     want = {i: f"title {i}\npart {i}\nbody {i}" for i in range(9)} | {i: f"title {i}\nbody {i}" for i in range(9, 12)}
     got = html_wrapper.extract(spark.createDataFrame(with_note + without, "page_id long, url string, html string"))
     assert {r["page_id"]: r["text"] for r in got.collect()} == want
-    leaf = lambda x, n, t: [x, n, t, []]
-    template = ["", 9, 0, [leaf("p", 9, 5), leaf("h1", 9, None)]]
-    assert html_wrapper._constants(html_wrapper.parse("<p>of this page</p><h1>title</h1>"), template) == (set(), True)
+    template = html_wrapper.raised([[0, "", 9, 0, 0], [1, "p", 9, 5, 9], [1, "h1", 9, None, 90]])
+    roots, constant, _ = html_wrapper.located(html_wrapper.skeleton(html_wrapper.parse("<p>of this page</p><h1>title</h1>")), template)
+    assert [r.tag for r in roots] == [""] and constant == set()
 
 
 # Exact top-k
