@@ -3,7 +3,8 @@
 Each text is taken as a mixture of languages. A word is generated by one language, with the probability that the
 language's byte trigrams give it. Expectation-maximisation estimates the proportions of the languages in a text; the set
 of languages is the one of the highest likelihood less a penalty for each language (half the logarithm of the number of
-words, times a factor), found by taking the languages in the order of their proportions.
+words, times a factor), found by taking the languages in the order of their proportions, until the penalty alone outweighs
+the best set. A long text is scored piece by piece; what is kept of it is a number for each word and language.
 
 Fitting counts trigrams of a bounded sample of labelled texts (``FIT_DOCS`` for each language, chosen by a hash of the
 text's id); scoring covers every whole text.
@@ -11,7 +12,6 @@ text's id); scoring covers every whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,23 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, text_parts, with_fields
+from factloom.llm.common import CHUNK_BYTES, crc_mod, hidden, place_of, text_parts, with_fields, word_pieces
 
 #: Texts of each language (about) from which the trigram counts are fitted.
 FIT_DOCS = 1500
-#: Languages that a model holds at most, the most frequent; more are an error.
-MAX_LANGUAGES = 256
 #: Trigram slots.
 SLOTS = 1 << 16
-#: Languages of a text at most.
-MAX_SET = 5
 ROUNDS = 6
 PENALTY = 3.0
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Letters of ASCII lower-cased, other ASCII a space; bytes of other characters as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes that part words.
+NO_LETTERS = bytes(b for b in range(128) if _FOLD[b] == 32)
 
 
 def _slots(folded: np.ndarray) -> np.ndarray:
@@ -86,10 +83,13 @@ class Model:
         place = np.argsort(np.argsort(-p, axis=0, kind="stable"), axis=0, kind="stable")
         best = np.full(len(some), -np.inf)
         chosen, size = np.zeros_like(p), np.zeros(len(some), dtype=np.int64)
-        for k in range(1, min(many, MAX_SET) + 1):
+        for k in range(1, many + 1):
+            cost = PENALTY * (k - 1) * (1 + 0.5 * np.log(n))
+            if (best >= -cost).all():  # no likelihood is above 1, as the likeliest language of each word counts 1
+                break
             kept = np.where(place < k, p + np.float32(1e-9), np.float32(0))
             kept /= kept.sum(axis=0)
-            fit = np.add.reduceat(np.log(sum(mixed(kept)) + np.float32(1e-30)), begin) - PENALTY * (k - 1) * (1 + 0.5 * np.log(n))
+            fit = np.add.reduceat(np.log(sum(mixed(kept)) + np.float32(1e-30)), begin) - cost
             better = fit > best
             best = np.where(better, fit, best)
             chosen = np.where(better, kept, chosen)
@@ -100,6 +100,13 @@ class Model:
 
     def _scores(self, data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
         """Log likelihood of each word (column) in each language, None without words; words of each text."""
+        if len(offsets) == 2 and len(data) > CHUNK_BYTES:
+            parts = [self._scores_of(data[s:e], np.array([0, e - s])) for s, e in word_pieces(data, NO_LETTERS)]
+            scores = [x for x, _ in parts if x is not None]
+            return np.concatenate(scores, axis=1) if scores else None, sum(n for _, n in parts)
+        return self._scores_of(data, offsets)
+
+    def _scores_of(self, data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
         docs = len(offsets) - 1
         folded, starts = _folded(data, offsets)
         word = folded != 32
@@ -124,11 +131,10 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns the trigram table from about ``fit_docs`` texts of each language. Rows of null text or language are left out."""
+    """Learns the trigram table from about ``fit_docs`` texts of each language. Rows of null text or language are left out.
+    A language takes 256 KB of the model, and 512 KB while it is learnt."""
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["count"] for r in docs.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["l"]: r["count"] for r in docs.groupBy("l").count().collect()}  # a row for each language
     if not counts:
         return Model([], np.zeros((0, SLOTS), dtype=np.float32))
     share = F.lit(0.0)
@@ -145,11 +151,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             langs = b.column("l").to_pylist()
             for row, last, data, offsets in text_parts(b, "t"):
                 for i in range(row, last):
-                    one = data[offsets[i - row] : offsets[i - row + 1]]
-                    folded, _ = _folded(one, np.array([0, len(one)]))
-                    slots = _slots(folded)
-                    inside = (folded[1:-1] != 32) | (folded[:-2] != 32)
-                    sums[number[langs[i]]] += np.bincount(slots[inside], minlength=SLOTS)
+                    whole = data[offsets[i - row] : offsets[i - row + 1]]
+                    for s, e in word_pieces(whole, NO_LETTERS):
+                        folded, _ = _folded(whole[s:e], np.array([0, e - s]))
+                        slots = _slots(folded)
+                        inside = (folded[1:-1] != 32) | (folded[:-2] != 32)
+                        sums[number[langs[i]]] += np.bincount(slots[inside], minlength=SLOTS)
         at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at], pa.int64())], schema=schema)
 
@@ -163,25 +170,24 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, score (the language's share of the words) and langs (each language of the text with its share).
 
     Every whole text is scored. A null, empty or letterless text has lang_pred ``und``, score 0 and no langs; a text
-    with letters always has a learned language while the model has one. Equal shares go to the language first by name.
-    Repeated rows stay; columns of these three names are replaced.
+    with letters (of which ``²`` and ``Ⅷ`` are none) always has a learned language while the model has one. Equal shares go
+    to the language first by name. Repeated rows stay; columns of these three names are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 256 KB a language, MAX_LANGUAGES of them at most
+    shared = spark.sparkContext.broadcast(model)  # 256 KB a language
     new = {"lang_pred": "string", "score": "double", "langs": "map<string,double>"}
-    kept = [c for c in docs.columns if c.lower() not in new]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    base, own = hidden(docs), place_of(docs, text)
     schema = with_fields(base, ", ".join(f"{k} {v}" for k, v in new.items()))
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in it:
             preds, scores, langs = [], [], []
-            for _, _, data, offsets in text_parts(b, text):
+            for _, _, data, offsets in text_parts(b, own):
                 shares, _ = m.infer(data, offsets)
                 tops = shares.argmax(axis=1) if m.languages else np.zeros(len(shares), dtype=int)
                 for i, top in enumerate(tops):
-                    has = m.languages and _LETTER.search(str(data[offsets[i] : offsets[i + 1]], "utf-8"))
+                    has = m.languages and any(map(str.isalpha, str(data[offsets[i] : offsets[i + 1]], "utf-8")))
                     preds.append(m.languages[top] if has else UNDETERMINED)
                     p = float(shares[i, top]) if has else 0.0
                     scores.append(min(1.0, max(0.0, p)))
@@ -189,7 +195,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             more = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *new])
 
-    return base.mapInArrow(score, schema)
+    found = base.mapInArrow(score, schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in new], *new)
 
 
 def held_out(key: str = "doc_id", n: int = 4, which: int = 2):

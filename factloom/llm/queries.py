@@ -59,7 +59,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.sampled(table(spark, sf_dir, "documents"))
+    found = mixing.sampled(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "picked")
 
 

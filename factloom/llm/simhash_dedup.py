@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, lower_ascii, text_parts
+from factloom.llm.common import CHUNK_BYTES, cut, hidden, lower_ascii, place_of, text_parts, word_pieces
 from factloom.llm.graph import components
 
 BUDGET = 2
@@ -31,6 +31,7 @@ SHIFTS = (0, 13, 26, 39, 52)
 SEED = 42
 
 _LOWER = lower_ascii()
+_SPACES = b" \t\n\v\f\r"
 #: For a byte, a 64-bit word with a lane of eight bits for each of its bits.
 _LANES = np.array([sum(1 << 8 * j for j in range(8) if b >> j & 1) for b in range(256)], dtype=np.uint64)
 
@@ -38,23 +39,48 @@ _LANES = np.array([sum(1 << 8 * j for j in range(8) if b >> j & 1) for b in rang
 def shingle_hashes(text: bytes, width: int) -> list[int]:
     """XXH64 of each shingle of ``width`` words of the lower-cased text, or of all its words if there are fewer."""
     words = text.translate(_LOWER).split()
-    if not words:
+    if words and len(words) <= width:
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    return _inner_hashes(words, width)
+
+
+def _inner_hashes(words: list[bytes], width: int) -> list[int]:
+    if len(words) < width or not words:
         return []
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return [h(joined, SEED)]
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
     return [h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())]
 
 
+def hash_parts(text: memoryview | bytes, width: int) -> Iterator[np.ndarray]:
+    """The hashes of ``shingle_hashes``, of a long text piece by piece."""
+    pieces = list(word_pieces(text, _SPACES))
+    if len(pieces) <= 1:
+        yield np.array(shingle_hashes(bytes(text), width), dtype=np.uint64)
+        return
+    before: list[bytes] = []
+    some = False
+    for s, e in pieces:
+        words = before + bytes(text[s:e]).translate(_LOWER).split()
+        got = _inner_hashes(words, width)
+        some = some or bool(got)
+        before = words[-(width - 1) :] if width > 1 else []
+        yield np.array(got, dtype=np.uint64)
+    if before and not some:
+        yield np.array(shingle_hashes(b" ".join(before), width), dtype=np.uint64)
+
+
 def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
     """Fingerprints (uint64): bit i is 1 if it is set in over half of the text's shingle hashes; 0 without words."""
     out = np.zeros(len(texts), dtype=np.uint64)
     counts, block, firsts, hashes, owners = [], [], [], [], []
     at = 0
     for i, t in enumerate(texts):
+        if len(t) > CHUNK_BYTES:
+            out[i] = _long_fingerprint(t, width)
+            continue
         h = shingle_hashes(t, width)
         if h:
             hashes.append(np.array(h, dtype=np.uint64))
@@ -71,9 +97,19 @@ def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _long_fingerprint(text: bytes, width: int) -> np.uint64:
+    """The fingerprint of a text that is read in pieces: its bits are counted piece by piece."""
+    n, bits = 0, np.zeros(64, dtype=np.int64)
+    for h in hash_parts(text, width):
+        n += len(h)
+        for at in range(0, len(h), 255):
+            bits += _LANES[h[at : at + 255].view(np.uint8).reshape(-1, 8)].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fp long) for each row. Null, empty and wordless texts have fingerprint 0."""
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """(key, hash of the text, fp long) for each row. Null, empty and wordless texts have fingerprint 0."""
+    base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     kind = base.schema["key"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +118,9 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             for _, _, data, offsets in text_parts(b, "text"):
                 o = offsets.tolist()
                 fps.append(fingerprints_of([bytes(data[s:e]) for s, e in zip(o, o[1:])], width))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.concatenate(fps).view(np.int64))], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hash"), pa.array(np.concatenate(fps).view(np.int64))], names=["key", "hash", "fp"])
 
-    return base.mapInArrow(run, f"key {kind}, fp long")
+    return base.mapInArrow(run, f"key {kind}, hash long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -137,31 +173,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return grouped(fps, links(fps), key)
 
 
+def rooted(fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of the rows ``fps``, linked by ``linked`` (u, v): the least that each reaches."""
+    found = components(linked)
+    of = fps.select("fp").distinct().join(found, F.col("fp") == F.col("node"), "left")
+    return of.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def grouped(fps: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     """(key, fingerprint string, component_id) of rows (key, fp) whose fingerprints are linked by ``linked`` (u, v)."""
-    found = components(linked)
-    of = fps.groupBy("fp").agg(F.min("key").alias("least")).join(found, F.col("fp") == F.col("node"), "left")
-    of = of.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(roots, "root").select("fp", "component_id")
+    of = fps.groupBy("fp").agg(F.min("key").alias("least")).join(rooted(fps, linked), "fp")
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     out = fps.join(named, "fp", "left")
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component does, that of the smallest key.
+    """The rows of ``docs`` that stay when one row of each component does: see ``stay``."""
+    fps = cut(fingerprint(docs, key, text, width))
+    return stay(docs, fps, links(fps), key, text)
+
+
+def stay(docs: DataFrame, fps: DataFrame, linked: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each component of the rows ``fps`` (key, hash of the text, fp) linked by ``linked``.
 
-    Rows that repeat the surviving key are one document repeated: the first in the order of the text stays.
+    The row of the smallest key stays, null keys last; of equal keys that of the least hash of the text; of rows equal in
+    both, which are one document repeated, the first as JSON. Rows of one key with other texts are documents each.
     """
-    return stay(docs, near_duplicates(docs, key, text, width), key, text)
-
-
-def stay(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` of the smallest key of each component of ``named`` (key, component_id)."""
-    groups = cut(named)
-    kept = groups.groupBy("component_id").agg(F.min(key).alias("kept")).select("kept").distinct()
-    rest = docs.join(kept, docs[key].eqNullSafe(kept["kept"]), "left_semi")
-    if groups.groupBy(key).count().where("count > 1").isEmpty():
-        return rest
-    once = rest.groupBy(key).agg(F.min_by(F.struct(*rest.columns), F.coalesce(F.col(text), F.lit(""))).alias("row"))
-    return once.select("row.*")
+    of = fps.join(rooted(fps, linked), "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("kept"))
+    kept = cut(of.select(F.col("kept.key").alias("kept key"), F.col("kept.hash").alias("kept hash")))
+    own, k = hidden(docs).withColumn("own hash", F.xxhash64(place_of(docs, text))), place_of(docs, key)
+    rest = own.join(kept, F.col(k).eqNullSafe(F.col("kept key")) & (F.col("own hash") == F.col("kept hash")), "left_semi")
+    twice = fps.groupBy("key", "hash").count().where("count > 1")
+    if not twice.isEmpty():
+        row = F.struct(*[f"c{i}" for i in range(len(docs.columns))])
+        rest = rest.groupBy(k, "own hash").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return rest.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -1,7 +1,8 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling over a content-defined sample of positions.
+"""Exact removal of repeated byte strings by ranks of a content-defined sample of positions.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document of a smaller key,
-or before in the same one. Ranks double from a quarter of the length to the whole: 25, 50, 100 bytes.
+or before in the same one. Prefix doubling would sort every position once for each doubled length, which takes a multiple
+of the input on disk (README); here few positions are ranked, and each rank is taken from the text, not from two others.
 
 * Rank of 25 bytes. Of the 76 positions whose 25-byte string lies within a 100-byte string, the one of the least hash
   (the leftmost) is its anchor. Equal 100-byte strings have equal anchors at equal distances, so it is enough to rank
@@ -14,9 +15,11 @@ or before in the same one. Ranks double from a quarter of the length to the whol
 * In blocks whose rank is shared but whose context differs, each 100-byte string is sorted by its pair of 50-byte ranks,
   one at the position and one at the offset of 50; all but the earliest are repeats.
 
-Ranks are 64-bit hashes, so that they needn't be numbered by a global sort; strings are held equal only where two ranks
-of them agree (128 bits). Before each shuffle, every task keeps only the earliest of equal rows, so that a string that
-most documents hold reaches the sort once a task; a sort is read as a stream that remembers one row.
+Ranks are 64-bit hashes, so that they needn't be numbered by a global sort. Strings are held equal where two of them agree:
+rank and context of anchors and blocks, which cover the same bytes, or the two halves of a string. So n ranked strings are
+confused with a probability of at most n squared / 2^65, 128 bits for whole contexts. Before each shuffle, every task keeps
+only the earliest of equal rows, so that a string that most documents hold reaches the sort once a task; a sort is read as
+a stream that remembers one row, and spills. A text longer than a kernel takes at once is read in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -29,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, text_parts, with_fields
+from factloom.llm.common import CHUNK_BYTES, cut, text_parts, with_fields
 
 #: Rows that a task holds to find the earliest of equal ones before the shuffle.
 HELD = 400_000
 
+#: Bits of a position in what a kernel takes at once: at most CHUNK_BYTES and a string. Always as many, so that equal
+#: strings have equal anchors wherever they stand.
+_BITS = 21
 _MASK = (1 << 64) - 1
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
@@ -100,7 +106,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     h = Hashes(data)
     ranks = h.all(k)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+    bits = np.uint64(_BITS)
     at = np.arange(len(ranks), dtype=np.uint64)
     low = _sliding_min((ranks >> bits << bits) | at, w)
     where = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -146,7 +152,7 @@ def _block(length: int) -> int:
     return min(8, max(1, length // 8))
 
 
-# A row of a sort: rank, context, okey, place. place is start << 33 | lo << 17 | number of strings << 1, or, for a span
+# A row of a sort: rank, context, okey, place. place is start << 31 | lo << 16 | number of strings << 1, or, for a span
 # that is settled before the sort, start << 1 | 1; such a row's context is the span's bytes.
 _ROWS = "rank long, context long, okey long, place long"
 _FOUND = "okey long, place long, size long, kind int"
@@ -175,7 +181,7 @@ class _Earliest:
 
     def add(self, rank: np.ndarray, context: np.ndarray, okey: np.ndarray, s: np.ndarray, n: np.ndarray, lo: np.ndarray | int) -> Iterator[pa.RecordBatch]:
         if len(rank):
-            self.rows.append((rank, context, okey, s << 33 | lo << 17 | n << 1))
+            self.rows.append((rank, context, okey, s << 31 | lo << 16 | n << 1))
             self.held += len(rank)
         if self.held >= HELD:
             yield from self.flush()
@@ -191,10 +197,10 @@ class _Earliest:
         again[1:] = (rank[1:] == rank[:-1]) & (context[1:] == context[:-1])
         yield _rows(rank[~again], context[~again], okey[~again], place[~again])
         if again.any():
-            keys, s = okey[again], place[again] >> 33
+            keys, s = okey[again], place[again] >> 31
             names, number = np.unique(keys, return_inverse=True)
             s = s + (number << 33)
-            s, e = merged(s, s + (place[again] >> 1 & 65535) + self.length - 1)
+            s, e = merged(s, s + (place[again] >> 1 & 32767) + self.length - 1)
             keys = names[s >> 33]
             yield _rows(_mix(keys.view(np.uint64)), e - s, keys, (s & (1 << 33) - 1) << 1 | 1)
 
@@ -229,8 +235,8 @@ def _repeats(rows: DataFrame, length: int, last: bool) -> DataFrame:
                 lo = 1 if rest is not None else 0
                 spans[:lo] = False
                 p = place[spans]
-                out.append((okey[spans], p >> 33, (p >> 1 & 65535) + length - 1, np.ones(len(p), dtype=np.int32)))
-                out.append((okey[shared], place[shared], place[shared] >> 1 & 65535, np.zeros(int(shared.sum()), dtype=np.int32)))
+                out.append((okey[spans], p >> 31, (p >> 1 & 32767) + length - 1, np.ones(len(p), dtype=np.int32)))
+                out.append((okey[shared], place[shared], place[shared] >> 1 & 32767, np.zeros(int(shared.sum()), dtype=np.int32)))
                 if not last:
                     # what to remember: the first context's row while its rank has one context only; a later context's
                     # row stands for a rank that is known to be shared, and was given out with its own batch
@@ -252,9 +258,9 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         held = _Earliest(length)
         for b in it:
             okey = b.column("okey").to_numpy()
-            for row, last, data, offsets in text_parts(b, "text"):
+            for row, last, at, _, data, offsets in _runs(b, length - 1):
                 rank, context, of, s, n, lo = anchors(np.frombuffer(data, dtype=np.uint8), offsets, length)
-                yield from held.add(rank, context, okey[row:last][of], s, n, lo)
+                yield from held.add(rank, context, okey[row:last][of], s + at, n, lo)
         yield from held.flush()
 
     return docs.mapInArrow(run, _ROWS)
@@ -269,13 +275,16 @@ def _finer_rows(docs: DataFrame, found: DataFrame, length: int, single: bool) ->
         held = _Earliest(length)
         for b in it:
             okeys, places = b.column("okey").to_numpy(), b.column("places")
-            for row, last, data, offsets in text_parts(b, "text"):
-                h = Hashes(np.frombuffer(data, dtype=np.uint8))
+            for row, last, at, stop, data, offsets in _runs(b, 3 * length):
                 part = places.slice(row, last - row)
                 place = part.flatten().to_numpy()
                 of = np.repeat(np.arange(row, last), part.value_lengths().to_numpy())
+                if at or stop < len(data):  # a piece of a long text: the ranges that start in it
+                    inside = (place >> 31 >= at) & (place >> 31 < stop)
+                    place, of = place[inside] - (at << 31), of[inside]
+                h = Hashes(np.frombuffer(data, dtype=np.uint8))
                 base = offsets[of - row]
-                s, lo, n = place >> 33, place >> 17 & 65535, place >> 1 & 65535
+                s, lo, n = place >> 31, place >> 16 & 32767, place >> 1 & 32767
                 if single:
                     of = np.repeat(np.arange(len(s)), n)
                     p = (s + base)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -283,12 +292,24 @@ def _finer_rows(docs: DataFrame, found: DataFrame, length: int, single: bool) ->
                     rank, context, n = h.at(p, half), h.at(half, p + length), np.ones(len(p), dtype=np.int64)
                 else:
                     rank, context, of, p, n = blocks(h, s + base, n, lo, length)
-                yield from held.add(rank, context, okeys[row + _row_of(offsets, p)], p - offsets[_row_of(offsets, p)], n, 0)
+                yield from held.add(rank, context, okeys[row + _row_of(offsets, p)], p - offsets[_row_of(offsets, p)] + at, n, 0)
         yield from held.flush()
 
     return joined.mapInArrow(run, _ROWS)
 
 
+def _runs(batch: pa.RecordBatch, beyond: int) -> Iterator[tuple[int, int, int, int, memoryview, np.ndarray]]:
+    """Runs of texts as of ``text_parts``, and the pieces of a longer text, each of CHUNK_BYTES and the ``beyond`` bytes
+    behind; with the text's positions from which and before which a piece's strings start (a run: 0 and its end)."""
+    for row, last, data, offsets in text_parts(batch, "text"):
+        if len(data) <= CHUNK_BYTES + beyond:
+            yield row, last, 0, len(data), data, offsets
+            continue
+        for at in range(0, len(data), CHUNK_BYTES):
+            piece = data[at : at + CHUNK_BYTES + beyond]
+            yield row, last, at, at + CHUNK_BYTES, piece, np.array([0, len(piece)])
+
+
 def _row_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, side="right") - 1
 
@@ -324,8 +345,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows. Rows of equal keys are ordered by their texts (equal rows in any order), null keys come first. Bytes are judged
     on the input: what one row loses still counts as an earlier copy for the next.
     """
-    if not 4 <= length <= 65535:
-        raise ValueError("length must be from 4 to 65535")
+    if not 4 <= length <= 40_000:  # positions within a string take 15 bits, those in a text (2 GB at most) 31
+        raise ValueError("length must be from 4 to 40000")
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] * (not digest)
     base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *others)
     base = _ordered(base, "key", "text")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of queries or candidates at most, about.
-BLOCK = 16_384
+BLOCK = 65_536
 #: Blocks of candidates at least, so that small inputs are spread as well.
 SPREAD = 12
 _TILE = 64
@@ -80,11 +80,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     integer inner product, all if there are fewer; ties go to the smaller id.
 
     Candidates are all rows but those of the query's id. Rows with a null id, a null vector, or null or non-finite
-    components take no part; a component that a shorter vector lacks counts 0. Scores are taken to fit a long. Rows that
-    repeat an id are candidates each; of equal rows of one query id, one asks. Other columns play no part.
+    components take no part; a component that a shorter vector lacks counts 0. Rows that repeat an id are candidates each;
+    of equal rows of one query id, one asks. Other columns play no part. Vectors so wide that a score may not fit a long
+    are an error, never a wrong score.
     """
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("v is not null")
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    n, asking, top, dims = rows.agg(F.count("*"), F.count_if("asks"), most, F.max(F.size("v"))).first()
+    if n and dims and top is not None and top * top * dims >= 2.0**63:
+        raise OverflowError(f"components of {top / scale:g} in {dims} dimensions: scores would not fit 64 bits")
     parts = max(math.ceil(n / BLOCK), min(SPREAD, max(1, n // 64)))
     groups = math.ceil(asking / BLOCK) or 1
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40))

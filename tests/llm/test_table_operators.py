@@ -322,9 +322,55 @@ def test_sampling_favours_quality(spark):
     assert good > 3 * bad
 
 
+def test_quality_is_learnt(spark):
+    """Cells whose labelled texts are good are picked more often; clashing columns stay; low weights spread over buckets."""
+    rows = [(i, "word " * 10 if i % 2 else "12|34 " * 10, "en", "s1" if i % 4 < 2 else "s2", 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = docs.where("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(spark.createDataFrame([(None, 1), (3, None), (5, 1)], "doc_id long, quality int"))
+    got = mixing.sampled(docs, weights=(1.0, 9.0), labels=labels).where("source = 's1'")
+    assert got.where("doc_id % 2 = 1").agg(F.sum("taken")).first()[0] > 3 * got.where("doc_id % 2 = 0").agg(F.sum("taken")).first()[0]
+    clash = docs.select("*", *[F.lit("mine").alias(c) for c in ("text_hash", "n_words", "copy", "key", "k", "bucket", "a.b")])
+    took = mixing.mixed(clash, labels=labels.where("false"))
+    assert took.columns == [*clash.columns, "size", "taken", "times"] and took.where("copy = 'mine' and `a.b` = 'mine'").count() == took.count() > 0
+    poor = spark.createDataFrame([(i, "1234 " * (1 + i % 7), "en", f"s{i % 2}", 0) for i in range(4000)], DOCS)  # weights of 0.05
+    found = mixing.sampled(poor, weights=(1.0, 3.0))
+    for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 4
+
+
+def test_wide_scores_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(df, F.col("vec_id") % 3 == 0)
+    nulls = spark.createDataFrame([(0, None), (3, [1.0]), (4, [2.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(nulls, F.col("vec_id") % 3 == 0).collect())) == [(3, 1, 4, 131072)]
+
+
 # Pipeline
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, stage):
+    """Null and repeated ids with other texts, clashing columns and empty tables go through each stage."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    rng = random.Random(16)
+    say = lambda: " ".join("".join(rng.choices("aeioustn", k=5)) for _ in range(60))
+    rows = [(None, say(), "en", None, 1) for _ in range(4)] + [(7, say(), None, "s", 2), (7, say(), "en", "s", None), (8, None, None, None, None)]
+    clash = ["score", "n_words", "n_hit", "text_hash", "copy", "lang_pred", "key", "kept", "a.b"]
+    df = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(-5).alias(c) for c in clash])
+    name, f = corpus_pipeline.STAGES[stage]
+    got = f(spark, df, d)
+    texts = sorted(r["text"] for r in got.collect() if r["text"])
+    if name == "mixing":
+        assert set(texts) <= {r[1] for r in rows}
+    else:
+        assert got.columns == df.columns and texts == sorted(r[1] for r in rows if r[1])
+    assert got.where(" and ".join(f"`{c}` = -5" for c in clash)).count() == got.count()
+    assert f(spark, df.where("false"), d).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -339,6 +385,7 @@ def test_pipeline_stages(spark, tmp_path):
     rows += [(130, "1234 5678", "en", "s0", 0), (131, None, "en", "s0", 0)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))

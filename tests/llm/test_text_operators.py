@@ -1,6 +1,7 @@
 """Language ID, SimHash, decontamination, suffix dedup, token counts and toxicity: brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, language_id, shingle_dedup, simhash_dedup, suffix_dedup, token_count, toxicity
+from factloom.llm import common, decontam, language_id, shingle_dedup, simhash_dedup, suffix_dedup, token_count, toxicity
 from factloom.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +76,87 @@ def test_language_id_odd(spark, spoken):
     assert [r[0] for r in none] == ["und"]
 
 
+def test_mixture_against_plain_em(spark, spoken):
+    """Proportions and set of languages against EM and penalised likelihood written out for one text."""
+    rng = random.Random(12)
+    model = language_id.fit(spoken)
+    for mix in (["en"], ["en", "fr"], ["de", "fr", "en"], ["fr", "fr", "de"]):
+        text = " ".join(speech(rng, WORDS[x], rng.randint(5, 60)) for x in mix).encode()
+        folded = b"  " + text.translate(language_id._FOLD) + b"  "
+        scores = []
+        for m in re.finditer(rb"[^ ]+", folded):
+            grams = [folded[i : i + 3] for i in range(m.start() - 1, m.end())]
+            following = re.search(rb"[^ ]", folded[m.end() :])
+            end = m.end() + following.start() - 1 if following else len(folded) - 2
+            grams += [folded[i : i + 3] for i in range(m.end(), end)]
+            slots = [(int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 16 for g in grams]
+            scores.append([sum(float(t[x]) for x in slots) for t in model.table])
+        chance = [[math.exp(s - max(row)) for s in row] for row in scores]
+
+        def em(p, rounds):
+            for _ in range(rounds):
+                sums = [0.0] * len(p)
+                for row in chance:
+                    total = sum(a * b for a, b in zip(p, row)) + 1e-30
+                    sums = [x + a * b / total for x, a, b in zip(sums, p, row)]
+                p = [x / len(chance) for x in sums]
+            return p
+
+        p = em([1 / 3] * 3, language_id.ROUNDS)
+        order = sorted(range(3), key=lambda i: -p[i])
+        best = None
+        for k in (1, 2, 3):
+            kept = [x + 1e-9 if i in order[:k] else 0.0 for i, x in enumerate(p)]
+            kept = [x / sum(kept) for x in kept]
+            fit = sum(math.log(sum(a * b for a, b in zip(kept, row)) + 1e-30) for row in chance) - language_id.PENALTY * (k - 1) * (1 + 0.5 * math.log(len(chance)))
+            if best is None or fit > best[0]:
+                best = fit, k, kept
+        shares, sizes = model.infer(memoryview(text), np.array([0, len(text)]))
+        assert sizes[0] == best[1] and np.allclose(shares[0], em(best[2], 2), atol=1e-3)
+
+
+def test_six_languages_and_letters(spark):
+    """A text of six languages keeps all six; signs that are no letters are none; ties go to the first name."""
+    rng = random.Random(13)
+    tongues = {f"l{i}": ["".join(rng.choices(chr(97 + 4 * i) + chr(98 + 4 * i) + chr(99 + 4 * i) + chr(100 + 4 * i), k=6)) for _ in range(30)] for i in range(6)}
+    rows = [(i, speech(rng, tongues[x], 60), x) for i in range(60) for x in [f"l{i % 6}"]]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, " ".join(speech(rng, t, 50) for t in tongues.values())), (2, "² ½ Ⅷ 123"), (3, "² a")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert len(got[1]["langs"]) == 6 and got[2]["lang_pred"] == "und" and got[3]["lang_pred"] != "und"
+    tied = language_id.Model(["a", "b"], np.zeros((2, language_id.SLOTS), dtype=np.float32))
+    assert language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), tied).where("doc_id = 3").first()["lang_pred"] == "a"
+
+
+def test_long_texts_in_pieces(spark, spoken, monkeypatch):
+    """Language, toxicity, fingerprints, shingles and decontamination of texts read in pieces and read whole."""
+    rng = random.Random(14)
+    texts = [speech(rng, [w for ws in WORDS.values() for w in ws] + ["Été", "x"], n) for n in (3, 900, 2500)] + ["a", "", "one two"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_id.fit(spoken)
+    embed = np.random.default_rng(1).normal(0, 1, (toxicity.SLOTS, toxicity.DIM)).astype(np.float32)
+    net = toxicity.train([(np.zeros((3, 4), dtype=np.int32), 0), (np.ones((3, 4), dtype=np.int32), 1)])
+    net.embed = embed
+    judge = toxicity.Model(net, model, {"": 0.5})
+    item = spark.createDataFrame([(1, texts[2][4000:4400]), (2, "one two"), (3, texts[1])], "item_id long, text string")
+
+    def results():
+        langs = [(r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(rows, model).orderBy("doc_id").collect()]
+        toxic = [round(r["score"], 4) for r in toxicity.toxicity(rows, judge).orderBy("doc_id").collect()]
+        fps = [r["fp"] for r in simhash_dedup.fingerprint(rows).orderBy("key").collect()]
+        sets = [shingle_dedup.shingle_set(t.encode()).tolist() for t in texts]
+        clean = [tuple(r) for r in decontam.matches(rows, item, clean=True).orderBy("doc_id").collect()]
+        return langs, toxic, fps, sets, clean
+
+    whole = results()
+    for chunk in (60, 1000):
+        for m in (common, language_id, toxicity, simhash_dedup):
+            monkeypatch.setattr(m, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(toxicity, "PIECE_WORDS", 40)
+        monkeypatch.setattr(decontam, "PIECE_WORDS", 12)
+        assert results() == whole
+
+
 # SimHash
 
 
@@ -153,6 +235,22 @@ def test_near_duplicates_odd(spark):
     assert simhash_dedup.keep_first(odd_docs(spark)).where("doc_id = 4").count() == 1
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows of one key or of none with other texts are documents each; repeated rows are one, whatever their columns."""
+    rng = random.Random(15)
+    say = lambda n: " ".join(str(rng.randint(0, 9999)) for _ in range(n))
+    rows = [(None, say(40), "a.b", None) for _ in range(6)] + [(7, say(40), "x", 1), (7, say(40), "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, fp long")
+    for keep in (simhash_dedup.keep_first, shingle_dedup.keep_first):
+        assert sorted(map(str, keep(df).collect())) == sorted(map(str, df.collect()))
+        twice = df.unionByName(df.withColumn("fp", F.lit(9).cast("long"))).repartition(5)
+        got = keep(twice)
+        assert got.columns == df.columns and got.count() == 8 and sorted(map(str, got.collect())) == sorted(map(str, keep(twice.repartition(2)).collect()))
+        mixed = spark.createDataFrame([(3, "a b c d e f", "p", 1), (None, "a b c d e f", "p", 1), (2, "A b c d e f", "p", 1)], df.schema)
+        assert [r["doc_id"] for r in keep(mixed).collect()] == [2]
+        assert keep(df.where("false")).count() == 0
+
+
 def test_near_copies_of_the_pipeline(spark, monkeypatch):
     """The pipeline's stage finds all pairs of a Jaccard similarity of 0.8 over five words, against all pairs."""
     import corpus_pipeline
@@ -215,6 +313,12 @@ def test_decontamination(spark, monkeypatch, block):
     assert got == {i: brute_hits(t, items, 4) for i, t in docs}
 
 
+def test_decontamination_keeps_other_columns(spark):
+    item = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "see one two three or more of it all", -5, "mine")], "doc_id long, text string, n_words long, `new n_hit` string")
+    assert [tuple(r) for r in decontam.decontaminate(df, item).collect()] == [(1, "see  or more of it all", -5, "mine")]
+
+
 def test_decontamination_cuts(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     docs = [(1, "Before. One two THREE, four five six seven eight nine ten eleven; after and much more text that stays here as it is."), (2, "clean"), (3, "one two three four five six seven eight nine ten eleven"), (4, None)]
@@ -291,6 +395,27 @@ def test_suffix_dedup_repeated_keys(spark):
     assert got == sorted(x[1:] for x in brute_cut(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 100))
 
 
+@pytest.mark.parametrize("chunk", [700, 3000])
+def test_suffix_dedup_of_long_texts(spark, monkeypatch, chunk):
+    """Texts that are read in pieces give what whole ones do."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(common, "CHUNK_BYTES", chunk)
+    rng = random.Random(chunk)
+    passages = ["".join(rng.choices("abcdefé ", k=rng.randint(60, 900))) for _ in range(5)]
+    rows = [(i, "".join(rng.choice(passages)[rng.randint(0, 40) :] + "".join(rng.choices("xyz", k=rng.randint(0, 200))) for _ in range(rng.choice([1, 3, 30])))) for i in range(12)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), digest=True)
+    assert sorted(map(tuple, got.collect())) == brute_cut(rows, 100)
+
+
+def test_checkpoint_folder_on_a_cluster():
+    """On a cluster that names no shared folder, cutting lineage is an error rather than a machine's own folder."""
+    from types import SimpleNamespace as N
+
+    sc = N(master="spark://a:1", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.cut(N(sparkSession=N(sparkContext=sc, conf=N(get=lambda *_: None))))
+
+
 # Token counts
 
 
@@ -339,6 +464,18 @@ def test_toxicity(spark, spoken):
     assert right > 0.97 and got.where("score < 0 or score > 1").count() == 0
 
 
+def test_thresholds_are_drawn_together():
+    """Few toxic texts of a language move its threshold little; many move it to its own; ties of scores are one."""
+    p = np.array([0.1] * 50 + [0.9] * 50 + [0.3] * 2 + [0.4] * 2)
+    y = np.array([0] * 50 + [1] * 50 + [0] * 2 + [1] * 2)
+    langs = np.array(["en"] * 100 + ["fr"] * 4)
+    got = toxicity.thresholds(p, y, np.ones(len(p)), langs)
+    own = toxicity.threshold(p[100:], y[100:], np.ones(4))
+    assert own == pytest.approx(0.35) and got["fr"] == pytest.approx((2 * own + toxicity.DRAWN * got[""]) / (2 + toxicity.DRAWN))
+    assert abs(got["en"] - toxicity.threshold(p[:100], y[:100], np.ones(100))) < 0.1
+    assert toxicity.thresholds(p[:50], y[:50], np.ones(50), langs[:50]) == {"": 0.5}
+
+
 def test_toxicity_odd(spark, spoken):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     none = toxicity.fit(odd_docs(spark), empty, language_id.fit(spoken), F.lit(True))
