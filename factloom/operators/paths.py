@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.shared import cut
@@ -45,10 +45,14 @@ def merge_summaries(*summaries: DataFrame) -> DataFrame:
 def close(summary: DataFrame, automaton: Automaton, vertices: DataFrame | None = None, sources: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """Distinct (src, dst) that the automaton accepts over a summary.
 
-    Semi-naive: each round extends the pairs found in the last one by an arc, and keeps those that are new; it ends when
-    none is. With ``sources`` (one column ``src``) only paths from these vertices are followed. A nullable automaton adds
-    (v, v) for each of ``vertices`` (one column), which must then be given. ``rounds`` bounds the length of a path."""
+    Lengths double: the pairs of at most n arcs, extended by those of just n, are those of at most 2n, so the rounds are
+    the logarithm of the longest shortest path; it ends when a round finds nothing new. With ``sources`` (one column
+    ``src``) only paths from these vertices are followed, and with ``rounds``, which bounds the length of a path, arc by
+    arc: each round extends the pairs that the last one found by an arc. A nullable automaton adds (v, v) for each of
+    ``vertices`` (one column), which must then be given."""
     step = cut(summary)
+    if sources is None and rounds is None:
+        return _accepted(_doubled(step), automaton, vertices, None)
     start = step.where("p = 0").select("src", F.col("dst").alias("at"), "q")
     if sources is not None:
         start = start.join(sources.toDF("src").distinct(), "src", "left_semi")
@@ -63,6 +67,28 @@ def close(summary: DataFrame, automaton: Automaton, vertices: DataFrame | None =
         done += 1
         if done % 8 == 0:
             seen = cut(seen)
+    return _accepted(seen, automaton, vertices, sources)
+
+
+def _doubled(step: DataFrame) -> DataFrame:
+    """(src, at, q): what paths from the start state reach, by doubling their lengths."""
+    seen = step.where("p = 0").select("src", F.col("dst").alias("at"), "q").distinct()
+    jump = step.select(F.col("src").alias("at"), F.col("p").alias("q"), F.col("dst").alias("next"), F.col("q").alias("next_q"))
+    jump = jump.join(step.select(F.col("q").alias("q")).distinct(), "q", "left_semi").select("at", "q", "next", "next_q")  # a state that no arc leads to is never extended
+    known = -1
+    while True:
+        seen = cut(seen)
+        now = seen.count()
+        if now == known or jump.isEmpty():
+            return seen
+        known = now
+        more = seen.join(jump, ["at", "q"]).select("src", F.col("next").alias("at"), F.col("next_q").alias("q"))
+        seen = seen.unionByName(more).distinct()
+        then = jump.select(F.col("at").alias("next"), F.col("q").alias("next_q"), F.col("next").alias("far"), F.col("next_q").alias("far_q"))
+        jump = cut(jump.join(then, ["next", "next_q"]).select("at", "q", F.col("far").alias("next"), F.col("far_q").alias("next_q")).distinct())
+
+
+def _accepted(seen: DataFrame, automaton: Automaton, vertices: DataFrame | None, sources: DataFrame | None) -> DataFrame:
     out = seen.where(F.col("q").isin(*automaton.accepting)).select("src", F.col("at").alias("dst"))
     if automaton.nullable:
         if vertices is None:
@@ -74,6 +100,50 @@ def close(summary: DataFrame, automaton: Automaton, vertices: DataFrame | None =
     return out.distinct()
 
 
+SUMMARY = "src string, p int, dst string, q int"
+
+
+@dataclass(frozen=True)
+class PathCollection:
+    """Stored summaries of one expression: a folder with the automaton's moves and a folder of arcs for each part.
+
+    Parts are joined by union, so they may be added in any order, again, and by several writers; the folder of a part is
+    named by its content. ``audit`` finds parts that no such automaton could have written."""
+
+    spark: SparkSession
+    path: str
+
+    @staticmethod
+    def create(spark: SparkSession, path: str, expression: str) -> "PathCollection":
+        spark.createDataFrame([(expression, parse(expression).compile().states)], "expression string, states int").write.mode("errorifexists").parquet(f"{path}/automaton")
+        return PathCollection(spark, path)
+
+    def automaton(self) -> Automaton:
+        return parse(self.spark.read.parquet(f"{self.path}/automaton").first()["expression"]).compile()
+
+    def add(self, edges: DataFrame) -> str:
+        """Stores the arcs of some edges (src, label, dst); equal parts are one."""
+        part = arcs(edges, self.automaton())
+        h = F.sha2(F.concat_ws("\x1f", "src", "p", "dst", "q"), 256)
+        parts = part.groupBy(F.substring(h, 1, 4).alias("k")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(h)), ""), 256).alias("d"))
+        name = parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("k", "d"))), ""), 256)).first()[0][:32]
+        part.write.mode("overwrite").parquet(f"{self.path}/arcs/part={name}")
+        return name
+
+    def summary(self) -> DataFrame:
+        return self.spark.read.schema(SUMMARY + ", part string").parquet(f"{self.path}/arcs").select("src", "p", "dst", "q").distinct()
+
+    def audit(self) -> DataFrame:
+        """(part, n): arcs of states between which the automaton has no move, or with null ends."""
+        allowed = self.spark.createDataFrame([(p, q) for p, q, _ in self.automaton().moves], "p int, q int").distinct()
+        rows = self.spark.read.schema(SUMMARY + ", part string").parquet(f"{self.path}/arcs")
+        bad = rows.join(F.broadcast(allowed), ["p", "q"], "left_anti").unionByName(rows.where("src is null or dst is null"), allowMissingColumns=True)
+        return bad.groupBy("part").agg(F.count("*").alias("n"))
+
+    def close(self) -> "PathIndex":
+        return PathIndex(cut(close(self.summary(), self.automaton())))
+
+
 @dataclass
 class PathIndex:
     """A closed path relation with its views; ``pairs`` has the distinct (src, dst)."""
@@ -90,6 +160,14 @@ class PathIndex:
             vertices = facts.select("e").unionByName(facts.select(F.col("v").alias("e")))
         return PathIndex(cut(close(arcs(edges, automaton), automaton, vertices, sources)))
 
+    def write(self, path: str) -> None:
+        """Stores the pairs as Parquet, sorted by start, so that ``reachable_from`` reads row groups."""
+        self.pairs.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").write.mode("errorifexists").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "PathIndex":
+        return PathIndex(spark.read.schema("src string, dst string").parquet(path))
+
     def contains(self, src: str, dst: str) -> bool:
         return not self.pairs.where((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.codec import encoding
@@ -17,8 +17,7 @@ K1, B = 1.5, 0.75
 
 @dataclass(frozen=True)
 class Bm25:
-    """postings (doc, term, tf) and lengths (doc, dl). A document may have no terms. Store both as Parquet, postings
-    sorted by term, and a query reads only its terms' row groups."""
+    """postings (doc, term, tf) and lengths (doc, dl). A document may have no terms."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -55,6 +54,22 @@ class Bm25:
             postings, docs = postings.unionByName(o.postings), docs.unionByName(o.lengths.select("doc"))
         return self._of(postings.groupBy("doc", "term").agg(F.max("tf").alias("tf")), docs, self.k1, self.b)
 
+    def write(self, path: str) -> None:
+        """Stores the postings sorted by term, so that a query reads the row groups of its terms, and the lengths."""
+        self.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("errorifexists").parquet(f"{path}/postings")
+        self.lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
+        spark = self.postings.sparkSession
+        spark.createDataFrame([(self.k1, self.b)], "k1 double, b double").write.mode("errorifexists").parquet(f"{path}/options")
+
+    @staticmethod
+    def read(spark: SparkSession, *paths: str) -> "Bm25":
+        """The stored index, or the union of several: their scores are those of one index of all their documents."""
+        parts = []
+        for p in paths:
+            options = spark.read.schema("k1 double, b double").parquet(f"{p}/options").first()
+            parts.append(Bm25(spark.read.parquet(f"{p}/postings"), spark.read.parquet(f"{p}/lengths"), options["k1"], options["b"]))
+        return parts[0].merge(*parts[1:]) if len(parts) > 1 else parts[0]
+
     def statistics(self) -> DataFrame:
         """One row: n_docs, avg_len."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))

@@ -1,16 +1,27 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and folders that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``. Where none is named, a folder of this
+    machine in local mode, as in tests; on a cluster an error, since its machines don't share one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the folder that the cluster names in ``spark.checkpoint.dir``; one of this process only where none
-    is named, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Checkpoints to the folder that the cluster names in ``spark.checkpoint.dir``, or see ``shared_folder``."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)

@@ -5,8 +5,8 @@ A query is a tree of constraints over variables. Compiling gives a DataFrame wit
 without removing repetitions. Only ``Or`` and membership sets are sets.
 
 Ranges, equalities and constants on a variable are pushed into the scans that bind it before any join is built; clauses
-are joined in an order in which each shares a variable with those before it, if there is one. Catalyst and adaptive
-execution choose the rest.
+are joined from the one that Catalyst holds for the smallest, in an order in which each shares a variable with those before
+it, if there is one. Catalyst and adaptive execution choose the rest.
 """
 
 from __future__ import annotations
@@ -163,6 +163,8 @@ class And(_Base):
                 bound |= set(p.variables())
         if not relations:
             raise ValueError("a query needs a part that binds")
+        if len(relations) > 2:  # the smallest first, by Catalyst's estimate, then the smallest that shares a variable
+            relations = sorted(relations, key=lambda x: _estimate(x[1]))
         rest = relations[1:]
         df, have = relations[0][1], set(relations[0][0].variables())
         while rest:
@@ -208,6 +210,11 @@ class _Star(_Base):
         return df.select(*[c.alias(n) for n, c in seen.items()])
 
 
+def _estimate(df: DataFrame) -> int:
+    """Bytes of a relation as the optimizer estimates them, from statistics where there are any."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _key_of(attribute: object) -> str:
     return attribute.key if isinstance(attribute, Attribute) else str(attribute)
 
@@ -288,6 +295,29 @@ class Has(_Base):
         return df.join(self._set(), self.var.name, "left_semi")
 
 
+class OwnedIds:
+    """The ids that a writer made or took over; only it adds facts to them."""
+
+    def __init__(self, spark: SparkSession, *ids: str) -> None:
+        self.spark, self._ids = spark, list(ids)
+
+    def adopt(self, *ids: str) -> None:
+        self._ids.extend(ids)
+
+    def has(self, var: Var) -> Has:
+        """The variable is one of them; they bind it where nothing else does."""
+        return Has(var, [Id(i) for i in dict.fromkeys(self._ids)], self.spark)
+
+
+def local_ids(var: Var, owner: OwnedIds) -> Has:
+    return owner.has(var)
+
+
+def similar(candidates: DataFrame, var: Var) -> "Relation":
+    """A frozen set of candidates (the first column, keys) that binds a variable, each once."""
+    return Relation(candidates.select(candidates.columns[0]), [var], distinct=True)
+
+
 @dataclass
 class Is(_Base):
     """A variable has a constant value."""

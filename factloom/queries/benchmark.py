@@ -12,7 +12,8 @@ from factloom.functions import scalar
 from factloom.functions.codec import Id
 from factloom.operators import folds, paths
 from factloom.plans.algebra import Equal, Pattern, Range, and_, find, or_, pattern, rows, vars_
-from factloom.queries.registry import attr, graph, query
+from factloom.queries.registry import attr, graph, query, table
+from factloom.sources.facts import Attribute, FactSource, entities
 
 s, o, o1, o2, o3, o4, a, b, c, e = vars_("s o o1 o2 o3 o4 a b c e")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders")
@@ -40,6 +41,13 @@ def _graph(spark, d):
     return graph(spark, d, *TABLES)
 
 
+def _buddies(spark, d, n: int = 1000):
+    """Each customer's buddy: the customer of three times its key, modulo ``n``."""
+    node = lambda k: F.concat(F.lit("customer/"), k.cast("string"))
+    t = table(spark, d, "customer")
+    return FactSource(entities(t, node(F.col("c_custkey")), {Attribute.named("buddy", "id"): node(F.col("c_custkey") * 3 % n)}))
+
+
 def _count(name: str, sql: str, build) -> None:
     @query(f"SELECT count(*) AS count FROM {sql}", name)
     def run(spark, d):
@@ -127,7 +135,6 @@ _count("q_union_no_constraint", f"(SELECT * FROM {STATUS.sql} UNION SELECT * FRO
 _count("q_union_constraint_from_star", f"(SELECT * FROM {STATUS.sql} UNION ALL SELECT * FROM {PRIORITY.sql}) u JOIN {CUST.sql} r USING (s)", lambda g: folds.bag_union(_df(g, _p(g, STATUS, s, o1), _p(g, CUST, s, o2)), _df(g, _p(g, PRIORITY, s, o1), _p(g, CUST, s, o2))))
 _count("q_union_constraint_small_join", f"(SELECT * FROM {NATION.sql} UNION SELECT * FROM {S_NATION.sql}) u JOIN {SEGMENT.sql} r USING (s)", lambda g: _df(g, or_(_p(g, NATION, s, o1), _p(g, S_NATION, s, o1)), _p(g, SEGMENT, s, o2)))
 _count("q_union_constraint_large_join", f"(SELECT * FROM {STATUS.sql} UNION SELECT * FROM {PRIORITY.sql}) u JOIN {CUST.sql} r USING (s)", lambda g: _df(g, or_(_p(g, STATUS, s, o1), _p(g, PRIORITY, s, o1)), _p(g, CUST, s, o2)))
-_count("q_union_constraint_filter_restrictive", f"(SELECT * FROM {NATION.sql} UNION SELECT * FROM {CUST.sql}) WHERE s = o", lambda g: _df(g, or_(and_(_p(g, NATION, s, o), Equal(s, o)), and_(_p(g, CUST, s, o), Equal(s, o)))))
 _count("q_multicolumn_join_small", f"{NATION.sql} l JOIN {NATION.sql} r USING (s, o)", lambda g: _df(g, _p(g, NATION, s, o), _p(g, NATION, s, o)))
 _count("q_multicolumn_join_large", f"{CUST.sql} l JOIN {CUST.sql} r USING (s, o)", lambda g: _df(g, _p(g, CUST, s, o), _p(g, CUST, s, o)))
 
@@ -169,11 +176,11 @@ _fold("q_group_by_implicit_string_min", P_NAME, "min(o) AS min", min=F.min)
 _fold("q_group_by_implicit_string_max", P_NAME, "max(o) AS max", max=F.max)
 
 
-@query(f"SELECT sum(strlen(t))::BIGINT AS sum FROM (SELECT string_agg(o, ' ') AS t FROM (SELECT * FROM {PRIORITY.sql} UNION ALL SELECT * FROM {STATUS.sql}) GROUP BY s)")
+@query(f"SELECT s, string_agg(o, ' ' ORDER BY o) AS text FROM (SELECT * FROM {PRIORITY.sql} UNION ALL SELECT * FROM {STATUS.sql}) GROUP BY s")
 def q_group_by_string_groupconcat(spark, d):
     g = _graph(spark, d)
     both = folds.bag_union(find([s, (o, "text")], _p(g, PRIORITY, s, o)), find([s, (o, "text")], _p(g, STATUS, s, o)))
-    return folds.group_concat(both, ["s"], "o").agg(F.sum(F.length("text")).alias("sum"))
+    return folds.group_concat(both, ["s"], "o")
 
 
 def _distinct(name: str, sql: str, build) -> None:
@@ -214,18 +221,28 @@ for _name, _sql, _f in (
     ("baseline", "sum(o)", F.sum), ("abs", "sum(abs(o))", lambda x: F.sum(F.abs(x))), ("ceil", "sum(ceil(o))", lambda x: F.sum(F.ceil(x))), ("floor", "sum(floor(o))", lambda x: F.sum(F.floor(x))), ("round", "sum(round(o))", lambda x: F.sum(F.round(x))),
     ("add", "sum(o + o)", lambda x: F.sum(x + x)), ("greater", "sum((o > 0)::INT)", lambda x: F.sum((x > 0).cast("int"))),
 ):
-    _fold(f"q_numeric_{_name}", SIZE, f"{_sql}::BIGINT AS sum", sum=lambda x, f=_f: f(x).cast("bigint"))
+    _fold(f"q_numeric_{_name}", BALANCE, f"round({_sql}, 2) AS sum", sum=lambda x, f=_f: F.round(f(x).cast("double"), 2))
 for _name, _k in (("fifty_fifty", 25), ("seventy_thirty", 35), ("ninetyfive_five", 48)):
     _count(f"q_numeric_filter_bin_search_{_name}", f"{SIZE.sql} WHERE o >= {_k}", lambda g, k=_k: _df(g, _p(g, SIZE, s, o), Range(o, k, None)))
-_count("q_filter_few_results", f"{CUST.sql} WHERE s = o", lambda g: _df(g, _p(g, CUST, s, o), Equal(s, o)))
+
+
+@query("SELECT 'customer/' || c_custkey AS s FROM customer WHERE c_custkey = c_custkey * 3 % 1000")
+def q_filter_few_results(spark, d):
+    """Customers that are their own buddies."""
+    return find([s], and_(Pattern(_buddies(spark, d), s, "buddy", o), Equal(s, o)))
+
+
+@query("SELECT count(*) AS count FROM (SELECT 'customer/' || c_custkey AS s FROM customer WHERE c_custkey = c_custkey * 3 % 1000 UNION SELECT 'customer/' || c_custkey FROM customer WHERE c_custkey = c_custkey * 3 % 700)")
+def q_union_constraint_filter_restrictive(spark, d):
+    g, h = _buddies(spark, d), _buddies(spark, d, 700)
+    return folds.count_all(rows(or_(and_(Pattern(g, s, "buddy", o), Equal(s, o)), and_(Pattern(h, s, "buddy", o), Equal(s, o)))))
+
+
 _count("q_filter_many_results", f"{CUST.sql} WHERE s <> o", lambda g: _df(g, _p(g, CUST, s, o)).where(F.col("s") != F.col("o")))
 
 
 @query("SELECT count(*) AS count FROM documents WHERE lang = 'en'")
 def q_filter_language_en(spark, d):
-    from factloom.sources.facts import Attribute, FactSource, entities
-    from factloom.queries.registry import table
-
     docs = table(spark, d, "documents").where("text is not null and lang is not null")
     tagged = F.sha2(F.concat("lang", F.lit("\x00"), "text"), 256)
     facts = entities(docs, F.concat(F.lit("document/"), F.col("doc_id").cast("string")), {Attribute.named("body", "id"): tagged})
@@ -256,9 +273,17 @@ def q_number_of_predicates(spark, d):
     return folds.count_distinct(_graph(spark, d).facts(), "a")
 
 
-@query("SELECT count(DISTINCT o) AS count FROM (SELECT 'n' || c_nationkey AS o FROM customer UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT 'i' || c_custkey FROM customer UNION ALL SELECT 'f' || c_acctbal FROM customer)")
+# Values are told apart by encoding: i whole numbers, f others, t texts, d times, and the entities that foreign keys name.
+_VALUES = {
+    "region": "i:r_regionkey t:r_name", "nation": "i:n_nationkey t:n_name region:n_regionkey", "customer": "i:c_custkey t:c_name nation:c_nationkey f:c_acctbal t:c_mktsegment",
+    "supplier": "i:s_suppkey t:s_name nation:s_nationkey f:s_acctbal", "part": "i:p_partkey t:p_name t:p_brand t:p_type i:p_size f:p_retailprice", "orders": "i:o_orderkey customer:o_custkey t:o_orderstatus f:o_totalprice d:o_orderdate t:o_orderpriority",
+}
+_OBJECTS = " UNION ALL ".join(f"SELECT '{k}/' || {c} AS o FROM {t}" for t, cs in _VALUES.items() for k, c in (x.split(":") for x in cs.split()))
+
+
+@query(f"SELECT count(DISTINCT o) AS count FROM ({_OBJECTS})")
 def q_number_of_objects(spark, d):
-    return folds.count_distinct(graph(spark, d, "customer").facts(), "v")
+    return folds.count_distinct(_graph(spark, d).facts(), "v")
 
 
 @query(f"SELECT ({_ROWS}) - (SELECT count(*) FROM nation) - (SELECT count(*) FROM customer) - (SELECT count(*) FROM supplier) - (SELECT count(*) FROM orders) AS count")
@@ -270,9 +295,6 @@ def q_number_of_literals(spark, d):
 
 
 def _tree(spark, d):
-    from factloom.queries.registry import table
-    from factloom.sources.facts import Attribute, FactSource, entities
-
     t = table(spark, d, "customer").where("c_custkey > 1")
     node = lambda k: F.concat(F.lit("customer/"), k.cast("string"))
     return FactSource(entities(t, node(F.col("c_custkey")), {Attribute.named("parent", "id"): node(F.floor(F.col("c_custkey") / 2))}))

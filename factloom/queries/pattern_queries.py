@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from factloom.functions.codec import Id
 from factloom.operators import folds, paths, sets
+from factloom.operators.shared import shared_folder
 from factloom.plans.algebra import Equal, Has, Head, Is, Pattern, Range, Relation, Var, Where, and_, entity_range, exists, find, or_, pattern, rows, vars_
 from factloom.queries.registry import attr, graph, lineitems, query, table
-from factloom.sources.facts import UnionSource, merge_archives, ordered_scan, read_archive, table_facts, validate, write_archive
+from factloom.sources.facts import UnionSource, merge_archives, ordered, ordered_scan, read_archive, table_facts, validate, write_archive
 
 c, n, r, x, y, z, name, bal, a, v = vars_("c n r x y z name bal a v")
 e1, e2 = vars_("e1 e2")
@@ -42,8 +41,7 @@ def s1_constant_value(spark, d):
 
 def _archive_dir(spark) -> str:
     """A new folder where the cluster keeps shared files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/archives-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="archives-")
+    return shared_folder(spark, "archives")
 
 
 @query("SELECT 'customer/' || c_custkey AS c, c_mktsegment AS x FROM customer WHERE c_acctbal BETWEEN 0 AND 1000")
@@ -67,19 +65,35 @@ def s5_free_attribute(spark, d):
     return got.groupBy("a").agg(F.count("v").alias("n"))
 
 
-@query("SELECT 0::BIGINT AS n")
+@query("SELECT 'repeated' AS reason, a, count(*) AS n FROM (SELECT 'nation.n_name' AS a FROM nation WHERE n_nationkey % 3 = 1) GROUP BY a UNION ALL SELECT 'null or empty', 'region.r_name', 2 * count(*) FROM region UNION ALL SELECT 'null or empty', '', count(*) FROM supplier")
 def s20_validate(spark, d):
-    return folds.count_all(validate(graph(spark, d, "nation", "region", "supplier").facts()), "n")
+    """Good facts of four tables, some of them again, some without an entity, a value or an attribute."""
+    good = graph(spark, d, "nation", "region", "supplier").facts()
+    k = F.split_part("e", F.lit("/"), F.lit(2)).cast("bigint")
+    names = good.where("a = 'region.r_name'")
+    bad = good.where((F.col("a") == "nation.n_name") & (k % 3 == 1)).unionByName(names.withColumn("e", F.lit("")))
+    bad = bad.unionByName(names.withColumn("v", F.lit(None).cast("string"))).unionByName(good.where("a = 'supplier.s_name'").withColumn("a", F.lit("")))
+    return validate(good.unionByName(bad)).groupBy("reason", "a").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT unnest([s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, s_acctbal::VARCHAR]) FROM supplier)")
+_SUPPLIERS = "SELECT 'supplier/' || s_suppkey AS e, unnest(['supplier.s_suppkey', 'supplier.s_name', 'supplier.s_nationkey']) AS a, unnest(['=i:' || s_suppkey, '=t:' || s_name, 'nation/' || s_nationkey]) AS v FROM supplier"
+
+
+@query(_SUPPLIERS)
 def s21_merge_archives(spark, d):
     path = _archive_dir(spark)
     t = table(spark, d, "supplier")
     for k, part in enumerate((t.where("s_suppkey % 2 = 0"), t.where("s_suppkey % 2 = 1"), t.where("s_suppkey % 5 = 0"))):
-        write_archive(table_facts(part, "supplier", "s_suppkey", {"s_nationkey": "nation"}), f"{path}/{k}")
+        write_archive(table_facts(part, "supplier", "s_suppkey", {"s_nationkey": "nation"}, ["s_suppkey", "s_name", "s_nationkey"]), f"{path}/{k}")
     merge_archives(spark, [f"{path}/{k}" for k in range(3)], f"{path}/all")
-    return folds.count_all(read_archive(spark, f"{path}/all").facts(), "n")
+    return read_archive(spark, f"{path}/all").facts().select("e", "a", "v")
+
+
+@query("SELECT e, a, v, row_number() OVER (ORDER BY e, a, v) AS place FROM (SELECT 'nation/' || n_nationkey AS e, unnest(['nation.n_nationkey', 'nation.n_name', 'nation.n_regionkey']) AS a, unnest(['=i:' || n_nationkey, '=t:' || n_name, 'region/' || n_regionkey]) AS v FROM nation)")
+def s25_ordered_facts(spark, d):
+    """All facts in order: numbered as they come, partition after partition."""
+    facts = ordered(graph(spark, d, "nation"))
+    return facts.coalesce(1).select("e", "a", "v", (F.monotonically_increasing_id() + 1).alias("place"))
 
 
 @query("SELECT 'part/' || p_partkey AS e, p_size::BIGINT AS v FROM part ORDER BY p_size DESC, ('part/' || p_partkey) DESC LIMIT 50")
@@ -117,18 +131,18 @@ def p5_fallible_head(spark, d):
     return got.agg(F.count_if(F.col("v.error").isNull()).alias("ok"), F.count_if(F.col("v.error").isNotNull()).alias("failed"))
 
 
-@query("SELECT true AS some, false AS none")
+@query("SELECT (SELECT count(*) FROM region WHERE r_name = 'ASIA') > 0 AS some, (SELECT count(*) FROM region WHERE r_name = 'ATLANTIS') > 0 AS none")
 def p6_exists(spark, d):
     g = graph(spark, d, "region")
-    return spark.range(1).select(F.lit(exists(Pattern(g, r, R_NAME, "ASIA"))).alias("some"), F.lit(exists(Pattern(g, r, R_NAME, "ATLANTIS"))).alias("none"))
+    some, none = (rows(Pattern(g, r, R_NAME, x)).limit(1).agg(F.count("*").alias(n)) for x, n in (("ASIA", "a"), ("ATLANTIS", "b")))
+    return some.crossJoin(none).select((F.col("a") > 0).alias("some"), (F.col("b") > 0).alias("none"))
 
 
-@query("SELECT 'customer/' || a.c_custkey AS x, 'customer/' || b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey < 40 AND a.c_custkey <> b.c_custkey")
+@query("SELECT 'orders/' || o_orderkey AS x, n_name AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def p7_hidden_variables(spark, d):
-    g = graph(spark, d, "customer")
-    k = attr("customer.c_custkey", "int")
-    where = and_(pattern(g, (x, {k: Var("_k"), C_NATION: Var("_n"), C_SEG: Var("_s")}), (y, {C_NATION: Var("_n"), C_SEG: Var("_s")})), Range(Var("_k"), None, 39), Where(lambda q: q["x"] != q["y"], (x, y)))
-    return find([x, y], where)
+    """The customer and the nation are hidden: a row for each binding of theirs."""
+    g = graph(spark, d, "orders", "customer", "nation")
+    return find([x, (y, "text")], pattern(g, (x, {O_CUST: Var("_c")}), (Var("_c"), {C_NATION: Var("_n")}), (Var("_n"), {N_NAME: y})))
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
@@ -143,18 +157,18 @@ def p10_constant_pattern(spark, d):
     return find([x], and_(Pattern(g, x, N_NAME, Var("_v")), Pattern(g, Id("region/2"), R_NAME, "ASIA")))
 
 
-@query("SELECT 'nation/' || n_nationkey AS x, n_name AS y FROM nation WHERE n_name = 'NATION_7' OR n_name = (SELECT min(n_name) FROM nation)")
+@query("SELECT 'nation/' || n_nationkey AS x, n_name AS y FROM nation WHERE n_name IN ('NATION_7', 'NATION_11')")
 def p11_is_constant(spark, d):
-    t = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
     g = graph(spark, d, "nation")
-    return find([x, (y, "text")], or_(and_(Pattern(g, x, N_NAME, y), Is(y, "NATION_7")), and_(Pattern(g, x, N_NAME, y), Is(y, t))))
+    return find([x, (y, "text")], or_(and_(Pattern(g, x, N_NAME, y), Is(y, "NATION_7")), and_(Pattern(g, x, N_NAME, y), y.is_("NATION_11"))))
 
 
-@query("SELECT 'customer/' || c_custkey AS x, 'supplier/' || s_suppkey AS y FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey <= 5")
+@query("SELECT 'orders/' || o_orderkey AS x, 'customer/' || c_custkey AS y FROM customer JOIN orders ON o_custkey = c_custkey")
 def p12_equality(spark, d):
-    g = graph(spark, d, "customer", "supplier")
-    k, m, t = vars_("_k _m _t")
-    return find([x, y], and_(Pattern(g, x, C_NATION, k), Pattern(g, y, S_NATION, m), Pattern(g, y, attr("supplier.s_suppkey", "int"), t), Range(t, None, 5), Equal(k, m)))
+    """Two variables that no clause joins."""
+    g = graph(spark, d, "customer", "orders")
+    k = Var("_k")
+    return find([x, y], and_(Pattern(g, x, O_CUST, k), Pattern(g, y, C_SEG, Var("_s")), Equal(k, y)))
 
 
 @query("SELECT 'orders/' || o_orderkey AS x FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-12-31'")
@@ -218,11 +232,9 @@ def j4_multi_column(spark, d):
     return folds.count_all(rows(pattern(g, (x, {k: Var("_o"), m: Var("_s")}), (y, {k: Var("_o"), m: Var("_s")}))), "n")
 
 
-@query("SELECT 'customer/' || c_custkey AS c, 'supplier/' || s_suppkey AS x FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey <= 20")
+@query("SELECT 'orders/' || o_orderkey AS x, c_mktsegment AS y FROM orders JOIN customer ON o_custkey = c_custkey")
 def j5_cross_source(spark, d):
-    k, m = vars_("_k _n")
-    mine = pattern(graph(spark, d, "customer"), (c, {C_NATION: m, attr("customer.c_custkey", "int"): k}))
-    return find([c, x], and_(mine, Range(k, None, 20), pattern(graph(spark, d, "supplier"), (x, {S_NATION: m}))))
+    return find([x, (y, "text")], and_(pattern(graph(spark, d, "orders"), (x, {O_CUST: c})), pattern(graph(spark, d, "customer"), (c, {C_SEG: y}))))
 
 
 @query("SELECT 'orders/' || o_orderkey AS x FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
@@ -255,10 +267,12 @@ def j13_optional(spark, d):
     return folds.optional(find([c], Pattern(g, c, C_NAME, Var("_n"))), find([c, x], Pattern(g, x, O_CUST, c)))
 
 
-@query("SELECT 'customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 400000)")
 def j14_minus(spark, d):
+    """Customers without a large order."""
     g = graph(spark, d, "customer", "orders")
-    return folds.minus(find([c], Pattern(g, c, C_NAME, Var("_n"))), find([c], Pattern(g, Var("_o"), O_CUST, c)))
+    large = find([c], and_(pattern(g, (Var("_o"), {O_CUST: c, O_PRICE: Var("_p")})), Range(Var("_p"), 400000.0, None)))
+    return folds.minus(find([c], Pattern(g, c, C_NAME, Var("_n"))), large)
 
 
 @query("SELECT 'customer/' || c_custkey AS c, r_name AS y FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -307,11 +321,14 @@ def u5_difference(spark, d):
     return sets.difference(*_halves(spark, d)).select("e", "a", "v")
 
 
-@query("SELECT true AS same, 75::BIGINT AS n WHERE (SELECT count(*) FROM nation) = 25")
+@query("SELECT true AS same, false AS other, 3 * count(*) AS n FROM nation")
 def u6_fingerprint(spark, d):
+    """Equal sets have equal fingerprints in whatever order and however often their facts come; others don't."""
     facts = graph(spark, d, "nation").facts()
-    one, two = sets.fingerprint(facts).first(), sets.fingerprint(facts.orderBy("v").unionByName(facts)).first()
-    return spark.range(1).select(F.lit(one == two).alias("same"), F.lit(one["n"]).alias("n"))
+    again, less = facts.orderBy("v").unionByName(facts), facts.where("v <> '=t:NATION_7'")
+    token = lambda f, name: sets.fingerprint(f).select(F.struct("n", "x", "s").alias(name))
+    one = token(facts, "one").crossJoin(token(again, "two")).crossJoin(token(less, "three"))
+    return one.select((F.col("one") == F.col("two")).alias("same"), (F.col("one") == F.col("three")).alias("other"), F.col("one.n").alias("n"))
 
 
 @query("SELECT DISTINCT substr('customer/' || c_custkey, 10, 1) AS infix FROM customer")

@@ -15,22 +15,22 @@ BODY = Attribute.named("body", "text")
 
 # The word tokenizer in DuckDB, for texts without symbols beyond ASCII.
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: regexp_replace(w, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))"
-_POSTINGS = f"tok AS (SELECT item_id AS doc, unnest({_WORDS}) AS term FROM benchmark), post AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT b.item_id AS doc, coalesce(sum(tf), 0) AS dl FROM benchmark b LEFT JOIN post p ON p.doc = b.item_id GROUP BY b.item_id), st AS (SELECT count(*) AS n, avg(dl) AS av FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+_POSTINGS = f"tok AS (SELECT doc_id AS doc, unnest({_WORDS}) AS term FROM documents), post AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT b.doc_id AS doc, coalesce(sum(tf), 0) AS dl FROM documents b LEFT JOIN post p ON p.doc = b.doc_id GROUP BY b.doc_id), st AS (SELECT count(*) AS n, avg(dl) AS av FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
 _SCORE = "sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av)))"
 
 
 def _index(spark, d, tokenizer: str = "word"):
-    return search.Bm25.build(table(spark, d, "benchmark"), "item_id", "text", tokenizer)
+    return search.Bm25.build(table(spark, d, "documents"), "doc_id", "text", tokenizer)
 
 
-@query(f"SELECT item_id AS k, array_to_string({_WORDS}, '|') AS words FROM benchmark")
+@query(f"SELECT doc_id AS k, array_to_string({_WORDS}, '|') AS words FROM documents")
 def t1_word_tokens(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.array_join(text.hash_tokens(F.col("text")), "|").alias("words"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.array_join(text.hash_tokens(F.col("text")), "|").alias("words"))
 
 
-@query(f"SELECT k, string_agg(a || ' ' || b, '|' ORDER BY i) AS pairs FROM (SELECT item_id AS k, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, generate_subscripts(w[2:], 1) AS i FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)) GROUP BY k")
+@query(f"SELECT k, array_to_string(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), '|') AS pairs FROM (SELECT doc_id AS k, {_WORDS} AS w FROM documents)")
 def t2_bigrams(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.array_join(text.bigram_tokens(F.col("text")), "|").alias("pairs"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.array_join(text.bigram_tokens(F.col("text")), "|").alias("pairs"))
 
 
 @query("SELECT DISTINCT p_type AS x, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '|', 'g')) AS parts FROM part")
@@ -56,8 +56,8 @@ def k3_bm25_scores(spark, d):
 @query(f"WITH {_POSTINGS} SELECT doc FROM post JOIN df USING (term) JOIN len USING (doc), st WHERE term IN ('the', 'de') GROUP BY doc HAVING {_SCORE} >= 0.5")
 def t9_bm25_matches(spark, d):
     """The floor as a membership constraint in a query."""
-    docs = table(spark, d, "benchmark")
-    g = FactSource(entities(docs, F.col("item_id").cast("string"), {BODY: F.col("text")}))
+    docs = table(spark, d, "documents")
+    g = FactSource(entities(docs, F.col("doc_id").cast("string"), {BODY: F.col("text")}))
     hits = _index(spark, d).matches(["the", "de"], 0.5)
     return find([e], and_(Pattern(g, e, BODY, x), Has(e, hits.select(F.col("doc").cast("string"))))).select(F.col("e").cast("bigint").alias("doc"))
 
@@ -80,14 +80,14 @@ def t8_statistics(spark, d):
 @query(f"WITH {_POSTINGS} SELECT doc, round({_SCORE}, 6) AS score FROM post JOIN df USING (term) JOIN len USING (doc), st WHERE term = 'the' GROUP BY doc")
 def t12_bm25_merge(spark, d):
     """Overlapping segments score as the whole."""
-    t = table(spark, d, "benchmark")
-    a, b = (search.Bm25.build(p, "item_id", "text") for p in (t.where("item_id % 3 < 2"), t.where("item_id % 3 > 0")))
+    t = table(spark, d, "documents")
+    a, b = (search.Bm25.build(p, "doc_id", "text") for p in (t.where("doc_id % 3 < 2"), t.where("doc_id % 3 > 0")))
     return a.merge(b).query(["the"]).select("doc", F.round("score", 6).alias("score"))
 
 
-@query("SELECT item_id FROM benchmark WHERE contains(text, 'tion of')")
+@query("SELECT doc_id FROM documents WHERE contains(text, 'tion of')")
 def t15_substring_search(spark, d):
-    return search.substring_search(table(spark, d, "benchmark"), "item_id", "text", "tion of", _index(spark, d, "trigram"))
+    return search.substring_search(table(spark, d, "documents"), "doc_id", "text", "tion of", _index(spark, d, "trigram"))
 
 
 @query(f"WITH {_POSTINGS} SELECT doc, string_agg(term || '=' || tf, ' ' ORDER BY term) AS bag FROM post GROUP BY doc")
@@ -96,9 +96,13 @@ def m10_reconstruct_documents(spark, d):
     return _index(spark, d).reconstruct().select("doc", F.array_join(terms, " ").alias("bag"))
 
 
-@query(f"WITH {_POSTINGS} SELECT doc::VARCHAR AS e, round({_SCORE}, 6) AS score FROM post JOIN df USING (term) JOIN len USING (doc), st WHERE term IN ('the', 'of') GROUP BY doc ORDER BY {_SCORE} DESC, e LIMIT 5")
+_TEXTS = "texts AS (SELECT DISTINCT text, sha256(text) AS h FROM documents WHERE text IS NOT NULL)"
+_TEXT_POSTINGS = _POSTINGS.replace("documents", "texts").replace("doc_id", "h")
+
+
+@query(f"WITH {_TEXTS}, {_TEXT_POSTINGS}, sc AS (SELECT doc, {_SCORE} AS score FROM post JOIN df USING (term) JOIN len USING (doc), st WHERE term IN ('the', 'of') GROUP BY doc) SELECT doc_id::VARCHAR AS e, round(score, 6) AS score FROM sc JOIN texts ON doc = h JOIN documents d ON d.text = texts.text ORDER BY sc.score DESC, e LIMIT 5")
 def k6_best_entities(spark, d):
-    g = FactSource(entities(table(spark, d, "benchmark"), F.col("item_id").cast("string"), {BODY: F.col("text")}))
+    g = FactSource(entities(table(spark, d, "documents"), F.col("doc_id").cast("string"), {BODY: F.col("text")}))
     return search.best_entities(g, "body", "the of", 5).select("e", F.round("score", 6).alias("score"))
 
 
@@ -114,19 +118,12 @@ def v2_cosine_above(spark, d):
 @query(f"SELECT b.vec_id AS handle, round({_COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY {_COS} DESC, handle LIMIT 10")
 def k5_cosine_top_k(spark, d):
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
-    q = t.where("handle = 3").first()["vec"]
-    return vectors.top_k(t, q, 10).select("handle", F.round("cosine", 6).alias("cosine"))
-
-
-@query(f"SELECT a.vec_id AS query, b.vec_id AS handle, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 3")
-def k5_cosine_top_k_per_query(spark, d):
-    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
-    q = t.where("handle % 100 = 0").select(F.col("handle").alias("query"), "vec")
-    return vectors.top_k_per_query(q, t, 3).select("query", "handle", F.round("cosine", 6).alias("cosine"))
+    q = t.where("handle = 3").select(F.col("handle").alias("query"), "vec")
+    return vectors.top_k_per_query(q, t, 10).select("handle", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"SELECT a.vec_id AS query, b.vec_id AS handle, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 3")
-def k5_cosine_top_k_per_query_all(spark, d):
+def k5_cosine_top_k_per_query(spark, d):
     """The whole query set: every row whose id 20 divides."""
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
     q = t.where("handle % 20 = 0").select(F.col("handle").alias("query"), "vec")
@@ -140,11 +137,15 @@ def j16_similarity_join(spark, d):
     return vectors.cosine_at_least(pairs, t, "a", "b", 0.1)
 
 
-@query("SELECT vec_id AS k, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS before, 1.0::DOUBLE AS after FROM embeddings")
+_NORM = "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
+
+
+@query(f"SELECT vec_id AS k, round({_NORM}, 6) AS before, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE / {_NORM}, 4)::DECIMAL(9, 4)), ' ') AS after FROM embeddings")
 def v1_l2_normalize(spark, d):
     t = table(spark, d, "embeddings")
     twice = F.transform("embedding", lambda x: x.cast("double") * 2)
-    return t.select(F.col("vec_id").alias("k"), F.round(vectors.norm(F.col("embedding")), 4).alias("before"), F.round(vectors.norm(vectors.l2_normalize(twice)), 9).alias("after"))
+    unit = F.transform(vectors.l2_normalize(twice), lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string"))
+    return t.select(F.col("vec_id").alias("k"), F.round(vectors.norm(F.col("embedding")), 6).alias("before"), F.array_join(unit, " ").alias("after"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'text' AS kind FROM pages UNION ALL SELECT 'pdf' FROM pages UNION ALL SELECT 'image' FROM pages) GROUP BY kind")

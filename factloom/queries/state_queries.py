@@ -59,17 +59,8 @@ def r6_stated_order_first(spark, d):
     return registers.resolve(registers.StatedOrder(g, "register", "at", first=True, by="int"), g.scan("register").select(F.col("e").alias("state")))
 
 
-@query("SELECT 'user/' || user_id AS register, CASE WHEN count(*) = 1 THEN 'sole' ELSE 'fork' END AS kind, count(*)::INT AS n FROM events WHERE event_id % 3 = 1 AND event_id < 1000 GROUP BY user_id")
-def r3_sole_or_fork(spark, d):
-    g = _events(spark, d)
-    df = find([Var("register"), Var("state")], Pattern(g, Var("state"), REGISTER, Var("register")))
-    k = F.split_part("state", F.lit("/"), F.lit(2)).cast("bigint")
-    got = registers.sole(df.where((k % 3 == 1) & (k < 1000)), "register", "state")
-    return got.select("register", "kind", F.coalesce(F.size("fork"), F.lit(1)).alias("n"))
-
-
 @query("SELECT 'user/' || user_id AS register, CASE WHEN count(*) = 1 THEN 'sole' ELSE 'fork' END AS kind, count(*)::INT AS n FROM events e WHERE event_id % 10 = 7 OR ts = (SELECT max(ts) FROM events f WHERE f.user_id = e.user_id AND f.event_id % 10 <> 7) GROUP BY user_id")
-def r3_sole_or_fork_all(spark, d):
+def r3_sole_or_fork(spark, d):
     """Whole registers: what the stated order over all events leaves of each."""
     g = _events(spark, d)
     df = find([Var("register"), Var("state")], Pattern(g, Var("state"), REGISTER, Var("register")))
@@ -201,11 +192,18 @@ def c3_collection_read(spark, d):
     return store.read(admitted).facts().groupBy("e").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('ann', true), ('bob', false), ('cat', true)) t(author, admitted) WHERE admitted")
+@query("SELECT 'c' || c_custkey AS author FROM customer WHERE (c_custkey % 3 <> 0)::INT + (c_custkey % 4 <> 0 OR c_custkey % 5 = 0)::INT + (c_custkey % 5 = 0)::INT >= 2")
 def c5_quorum(spark, d):
-    grants = spark.createDataFrame([("r1", "ann"), ("r2", "ann"), ("r1", "bob"), ("ann", "cat")], "issuer string, subject string")
-    commits = spark.createDataFrame([("1", "ann"), ("2", "bob"), ("3", "cat")], "commit string, author string")
-    return collections.Policy(("r1", "r2", "r3"), 2).admitted(commits, grants).select("author", F.lit(True).alias("admitted"))
+    """Two of three roots: the first grants to two thirds of all customers, the second to three quarters, the third to the
+    delegate of a fifth; a customer needs two of them."""
+    t = table(spark, d, "customer")
+    k, name = F.col("c_custkey"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    given = lambda issuer, where: t.where(where).select(F.lit(issuer).alias("issuer"), name.alias("subject"))
+    delegate = spark.createDataFrame([("r3", "deputy")], "issuer string, subject string")
+    grants = given("r1", k % 3 != 0).unionByName(given("r2", k % 4 != 0)).unionByName(given("deputy", k % 5 == 0)).unionByName(given("nobody", k > 0)).unionByName(delegate)
+    extra = given("r2", (k % 4 == 0) & (k % 5 == 0))
+    commits = t.select(k.cast("string").alias("commit"), name.alias("author"))
+    return collections.Policy(("r1", "r2", "r3"), 2).admitted(commits, grants.unionByName(extra)).select("author")
 
 
 @query("SELECT r_name AS x, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")

@@ -63,6 +63,7 @@ def reachable(store: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def bundle(store: DataFrame, root: str) -> DataFrame:
-    """The root's blob and all that it reaches."""
-    return get(store, reachable(store, store.where(F.col("handle") == root).select("handle")))
+def bundle(store: DataFrame, root: str | DataFrame) -> DataFrame:
+    """The root's blob, or those of the roots (one column), and all that it reaches."""
+    roots = root.toDF("handle") if isinstance(root, DataFrame) else store.where(F.col("handle") == root).select("handle")
+    return get(store, reachable(store, roots))

@@ -185,6 +185,7 @@ class TableSource(FactSource):
         """tables: name -> (rows, key column, foreign keys). The key must be unique; without one, an entity is its row's
         content, and equal rows are one entity."""
         self.tables = {n: (df if key is not None else df.distinct(), key, refs) for n, (df, key, refs) in tables.items()}
+        self._thin = {n: _by_content(df) for n, (df, key, _) in tables.items() if key is None}
 
     def facts(self) -> DataFrame:
         out = None
@@ -217,17 +218,26 @@ class TableSource(FactSource):
         by = {a.key: (a.encoding, v) for a, v in values.items()}
         if any(a not in by for a in attributes):
             return None
-        df, entity = table_entity(df, name, key, values)
+        df, entity = table_entity(self._thin.get(name, df), name, key, values)
         columns = [entity.alias("e")]
         for i, a in enumerate(attributes):
             enc, value = by[a]
             columns += [enc.key(value).alias(f"v{i}"), enc.int(value).alias(f"int{i}"), enc.num(value).alias(f"num{i}")]
-        out = df.select(*columns).where("e is not null")
+        out = df.select(*columns)
+        if key is not None:  # the id of a content is never null; without this filter, one that nothing asks for isn't made
+            out = out.where("e is not null")
         for i in range(len(attributes)):
             out = out.where(F.col(f"v{i}").isNotNull())
         return out
 
 
+def _by_content(df: DataFrame) -> DataFrame:
+    """The distinct rows of ``df``, by two 64-bit hashes of the row, so that columns that nothing asks for are neither
+    shuffled nor compared."""
+    h = [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]).alias(f"__h{seed}") for seed in (0, 1)]
+    return df.select("*", *h).groupBy("__h0", "__h1").agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in df.columns]).drop("__h0", "__h1")
+
+
 def write_archive(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Writes facts as Parquet, a folder an attribute, each file sorted by value and entity, so that a pattern reads one
     folder and a range its row groups. Rows of an attribute are spread by value range; hot ones over many files."""

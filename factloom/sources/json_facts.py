@@ -212,8 +212,8 @@ def import_trees(docs: DataFrame, key: Column, text: Column, depth: int = MAX_DE
 
 
 def array_node(children: DataFrame) -> DataFrame:
-    """(array, facts) rows of the array node of each group of (doc, index, child)."""
-    def run(pdf):
+    """(doc, array, facts) rows of the array node of each group of (doc, index, child); an array is one value."""
+    def run(key, pdf):
         import pandas as pd
 
         facts: dict = {}
@@ -229,10 +229,11 @@ def array_node(children: DataFrame) -> DataFrame:
             facts[e, a, v] = (e, a, v, None, None)
         out = pd.DataFrame(list(facts.values()), columns=COLUMNS)
         out.insert(0, "array", e)
+        out.insert(0, "doc", key[0])
         out["int"] = out["int"].astype("Int64")
         return out
 
-    return children.groupBy("doc").applyInPandas(run, "array string, e string, a string, v string, int bigint, num double")
+    return children.groupBy("doc").applyInPandas(run, "doc string, array string, e string, a string, v string, int bigint, num double")
 
 
 def export(source: FactSource, roots: DataFrame, names: dict[str, str] | None = None, depth: int = 8) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.codec import Id, constant_key
+from factloom.operators.paths import PathIndex
 from factloom.operators.shared import cut
 from factloom.plans.algebra import And, Constraint, Pattern, Var, Where, rows
+from factloom.plans.paths import step
 from factloom.sources.facts import COLUMNS, FactSource, UnionSource
 from factloom.streaming.delta import pattern_changes
 
@@ -64,9 +66,14 @@ def fire(rule: Rule, full: FactSource, delta: FactSource | None) -> DataFrame:
     names = found.columns
     made = F.array(*[F.struct(_column(rule, e, names, False).alias("e"), _column(rule, a, names, False).alias("a"), _column(rule, v, names, True).alias("v")) for e, a, v in rule.then])
     out = found.select(F.explode(made).alias("f")).select("f.*")
+    return _typed(out).dropDuplicates(["e", "a", "v"])
+
+
+def _typed(facts: DataFrame) -> DataFrame:
+    """Facts (e, a, v) with the typed columns of their values."""
     whole = F.when(F.col("v").startswith("=i:") | F.col("v").startswith("=d:"), F.substring("v", 4, 30).try_cast("bigint"))
     number = F.when(F.col("v").rlike("^=[ifn]:"), F.substring("v", 4, 60).try_cast("double"))
-    return out.select("e", "a", "v", whole.alias("int"), number.alias("num")).dropDuplicates(["e", "a", "v"])
+    return facts.select("e", "a", "v", whole.alias("int"), number.alias("num"))
 
 
 @dataclass(frozen=True)
@@ -80,7 +87,43 @@ class Advanced:
 
 def advance(facts: DataFrame, rules: list[Rule], budget: int | None = None, delta: DataFrame | None = None) -> Advanced:
     """Applies the rules, semi-naively, until quiescent or for ``budget`` rounds. With ``delta`` (new facts among
-    ``facts``) only what follows from these is sought in the first round too."""
+    ``facts``) only what follows from these is sought in the first round too.
+
+    Without a budget and delta, where  x B y => x A y  and  x A y, y B z => x A z  are rules and no rule makes B, the
+    closure of B is found first, by doubling, as facts of A: it follows from these rules, and they needn't find it link
+    by link. So the rounds are few however long the chains are."""
+    if budget is None and delta is None:
+        for a, b in chains(rules):
+            pairs = PathIndex.build(FactSource(facts), step(b).plus()).pairs
+            facts = facts.select(*COLUMNS).unionByName(_typed(pairs.select(F.col("src").alias("e"), F.lit(a).alias("a"), F.col("dst").alias("v"))))
+    return _advance(facts, rules, budget, delta)
+
+
+def chains(rules: list[Rule]) -> list[tuple[str, str]]:
+    """The (A, B) for which the rules say that A is the closure of B, among ids."""
+    heads_ = [a for r in rules for _, a, _ in r.then]
+    if any(isinstance(a, (Var, New)) for a in heads_):
+        return []
+
+    def plain(*terms: object) -> bool:
+        return not any(isinstance(t, (Var, New)) for t in terms)
+
+    bases, steps = set(), set()
+    for r in rules:
+        if len(r.then) != 1 or r.where:
+            continue
+        if len(r.when) == 1:
+            (x, b, y), (x2, a, y2) = r.when[0], r.then[0]
+            if isinstance(x, Var) and isinstance(y, Var) and x != y and (x, y) == (x2, y2) and plain(a, b):
+                bases.add((str(a), str(b)))
+        elif len(r.when) == 2:
+            for (x, a, y), (y2, b, z) in (r.when, r.when[::-1]):
+                if all(isinstance(t, Var) for t in (x, y, z)) and y == y2 and len({x, y, z}) == 3 and r.then[0] == (x, a, z) and plain(a, b) and str(a) != str(b):
+                    steps.add((str(a), str(b)))
+    return sorted(c for c in bases & steps if c[1] not in {str(a) for a in heads_})
+
+
+def _advance(facts: DataFrame, rules: list[Rule], budget: int | None, delta: DataFrame | None) -> Advanced:
     held = cut(facts.select(*COLUMNS).dropDuplicates(["e", "a", "v"]))
     fresh = None if delta is None else cut(delta.select(*COLUMNS))
     done = 0
