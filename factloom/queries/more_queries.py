@@ -56,7 +56,7 @@ def f25_tensors(spark, d):
 _MASK = hashlib.sha256(b"events").hexdigest()
 
 
-@query(f"SELECT event_id AS k, printf('%08x', epoch_ms(ts) % 4294967296) || substr(sha256(event_id::VARCHAR), 1, 24) AS timed, '{_MASK[:16]}' || printf('%016x', xor(event_id, {int(_MASK[16:32], 16) - (1 << 63)}::BIGINT)) AS counted FROM events")
+@query(f"SELECT event_id AS k, printf('%08x', (epoch_us(ts) // 1000) % 4294967296) || substr(sha256(event_id::VARCHAR), 1, 24) AS timed, '{_MASK[:16]}' || printf('%016x', xor(event_id, {int(_MASK[16:32], 16) - (1 << 63)}::BIGINT)) AS counted FROM events")
 def f23_ids(spark, d):
     t = table(spark, d, "events")
     return t.select(F.col("event_id").alias("k"), scalar.time_prefixed_id(F.col("ts").cast("timestamp"), F.col("event_id")).alias("timed"), scalar.counter_id("events", F.col("event_id")).alias("counted"))

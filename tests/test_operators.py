@@ -351,7 +351,7 @@ def test_recall_of_approximate_top_k(spark):
     from factloom.queries import QUERIES
 
     sf = "/root/testdata/sf0.01"
-    got = {(r["query"], r["vec_id"]): r["cosine"] for r in QUERIES["v4_approximate_top_k"](spark, sf).collect()}
+    got = {(r["query"], r["vec_id"]): r["cosine"] for r in QUERIES["v4_approximate_neighbours"](spark, sf).collect()}
     t = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("handle"), F.col("embedding").alias("vec"))
     q = t.where("handle % 20 = 0").select(F.col("handle").alias("query"), "vec")
     want = {(r["query"], r["handle"]): r["cosine"] for r in vectors.top_k_per_query(q, t, 10).collect()}
@@ -374,7 +374,7 @@ def test_sole_or_fork_of_whole_registers(spark):
     for r in rows:
         if r["event_id"] % 10 == 7 or r["ts"] == last[r["user_id"]]:
             want[f"user/{r['user_id']}"] = want.get(f"user/{r['user_id']}", 0) + 1
-    got = {r["register"]: (r["kind"], r["n"]) for r in QUERIES["r3_sole_or_fork_all"](spark, sf).collect()}
+    got = {r["register"]: (r["kind"], r["n"]) for r in QUERIES["r3_sole_or_fork"](spark, sf).collect()}
     assert got == {k: ("sole" if n == 1 else "fork", n) for k, n in want.items()}
 
 
@@ -384,7 +384,7 @@ def test_timestamp_distance_of_all_events(spark):
 
     sf = "/root/testdata/sf0.01"
     keys = [r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
-    got = {r["k"]: r["dist"] for r in QUERIES["f24_timestamp_distance_all"](spark, sf).collect()}
+    got = {r["k"]: r["dist"] for r in QUERIES["f24_timestamp_distance"](spark, sf).collect()}
     assert got == {k: (k - 5000) % 1024 for k in keys} and min(got) < 3976
 
 
@@ -393,5 +393,5 @@ def test_top_k_of_the_whole_query_set(spark):
 
     sf = "/root/testdata/sf0.01"
     want = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
-    got = QUERIES["k5_cosine_top_k_per_query_all"](spark, sf).groupBy("query").count().collect()
+    got = QUERIES["k5_cosine_top_k_per_query"](spark, sf).groupBy("query").count().collect()
     assert {r["query"] for r in got} == want and {r["count"] for r in got} == {3}
