@@ -24,6 +24,8 @@ MOST = 3.0
 BUCKETS = 1 << 16
 #: Least and most of the logarithm of a key that are told apart.
 LOG_KEYS = (-37.0, 7.0)
+#: Sources at most whose targets, a row each, are broadcast; more are joined.
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,6 +124,9 @@ def _sampled(docs: DataFrame, key: str, text: str, source: str, share: float, we
     edge = prefix.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
     edge = edge.where("p.before <= g.rest").groupBy(F.col("g.source").alias("s")).agg(F.max("p.bucket").alias("edge"), F.max_by("p.before", "p.bucket").alias("edge_before"))
     goals = goals.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
+    goals = cut(goals)
+    if goals.count() <= BROADCAST_SOURCES:
+        goals = F.broadcast(goals)
     all_rows = rows.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     within = Window.partitionBy("source").orderBy("k", "key", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     last = all_rows.where("bucket = edge").withColumn("before", F.col("edge_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
