@@ -25,30 +25,40 @@ def _eight_bits(x: Column) -> Column:
 def quantise(vec: Column) -> Column:
     """struct(scale double, scales array, codes array) of a vector; null for null, or where a component is null or not finite.
     A code is the magnitude's number, plus 8 for a negative component."""
-    x = F.transform(vec, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    top = F.coalesce(F.array_max(F.transform(x, F.abs)), F.lit(0.0))
-    scale = F.when(top > 0, top / (6.0 * 448.0)).otherwise(1.0)
-    blocks = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    made = F.struct(x.alias("x"), scale.alias("scale"), F.transform(blocks, lambda b: _eight_bits(F.coalesce(F.array_max(F.transform(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.abs)), F.lit(0.0)) / scale / 6.0)).alias("scales"))
 
     def code(v: Column, s: Column) -> Column:
         y = F.abs(v) / s
         n = sum(((y > e).cast("int") for e in _EDGES), F.lit(0))
         return (n + F.when(v < 0, F.lit(8)).otherwise(F.lit(0))).cast("tinyint")
 
+    def scaled(x: Column) -> Column:
+        top = F.coalesce(F.array_max(F.transform(x, F.abs)), F.lit(0.0))
+        return F.struct(x.alias("x"), F.when(top > 0, top / (6.0 * 448.0)).otherwise(1.0).alias("scale"))
+
+    def blocked(m: Column) -> Column:
+        x = m["x"]
+        blocks = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        scales = F.transform(blocks, lambda b: _eight_bits(F.coalesce(F.array_max(F.transform(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.abs)), F.lit(0.0)) / m["scale"] / 6.0))
+        return F.struct(x.alias("x"), m["scale"].alias("scale"), scales.alias("scales"))
+
     def finished(m: Column) -> Column:
         codes = F.transform(m["x"], lambda v, i: code(v, m["scale"] * F.element_at(m["scales"], (F.floor(i / BLOCK) + 1).cast("int"))))
         return F.struct(m["scale"].alias("scale"), m["scales"].alias("scales"), codes.alias("codes"))
 
-    # one element, so that the scales are computed once
-    return F.when(vec.isNotNull() & ~bad, F.transform(F.array(made), finished)[0])
+    # steps over arrays of one element, so that what a step made is bound and computed once
+    one = F.array(F.transform(vec, lambda v: v.cast("double")))
+    good = F.filter(one, lambda x: x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    return F.get(F.transform(F.transform(F.transform(good, scaled), blocked), finished), F.lit(0))
 
 
 def reconstruct(q: Column) -> Column:
     """The vector that the codes stand for."""
     levels = F.array(*[F.lit(x) for x in _LEVELS], *[F.lit(-x) for x in _LEVELS])
-    return F.transform(q["codes"], lambda c, i: F.element_at(levels, c.cast("int") + 1) * q["scale"] * F.element_at(q["scales"], (F.floor(i / BLOCK) + 1).cast("int")))
+
+    def of(m: Column) -> Column:
+        return F.transform(m["codes"], lambda c, i: F.element_at(levels, c.cast("int") + 1) * m["scale"] * F.element_at(m["scales"], (F.floor(i / BLOCK) + 1).cast("int")))
+
+    return F.get(F.transform(F.array(q), of), F.lit(0))
 
 
 def derive(rows: DataFrame, key: str = "handle", vector: str = "vec") -> DataFrame:

@@ -18,8 +18,10 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The vector over its length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    def over(n: Column) -> Column:
+        return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    return F.get(F.transform(F.array(norm(a)), over), F.lit(0))  # the length is bound, not computed for each component
 
 
 def cosine(a: Column, b: Column) -> Column:
