@@ -484,3 +484,62 @@ def test_toxicity_odd(spark, spoken):
     model = toxicity.Model(toxicity.train([(np.zeros((3, 4), dtype=np.int32), 0), (np.ones((3, 4), dtype=np.int32), 1)]), language_id.fit(spoken), {"": 0.5})
     assert toxicity.toxicity(odd_docs(spark), model).where("text is null or text = ''").where("score > 0").count() == 0
     assert toxicity.toxicity(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, spoken, monkeypatch):
+    """Long texts and more of them than a group are all counted, learnt and set thresholds; partitions don't matter."""
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    rows = []
+    for i in range(600):
+        w = rng.choices(vocabulary, k=6500 if i % 10 == 0 else 20)  # the toxic texts have 39 KB each
+        rows.append((i, " ".join([*w, "zorgling"] if i % 10 == 0 else w), int(i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    counts, found = [], []
+    monkeypatch.setattr(toxicity, "GROUP", 100)
+    counted, thresholds = toxicity._counted, toxicity.thresholds
+    monkeypatch.setattr(toxicity, "_counted", lambda x: counts.append(counted(x)) or counts[-1])
+    monkeypatch.setattr(toxicity, "thresholds", lambda p, y, w, langs: found.append((w[y == 0].sum(), w[y == 1].sum())) or thresholds(p, y, w, langs))
+    languages = language_id.fit(spoken)
+    model = toxicity.fit(docs.repartition(3), labels, languages, F.lit(True))
+    again = toxicity.fit(docs.repartition(7), labels.repartition(2), languages, F.lit(True))
+    assert counts[0][1].sum(axis=0).tolist() == [540, 60] and found == [(540, 60)] * 2
+    assert np.array_equal(model.network.embed, again.network.embed) and model.thresholds == again.thresholds
+    assert toxicity.toxicity(docs, model).join(labels, "doc_id").where("predicted <> toxic").count() <= 6
+
+
+def test_shrunk_texts_train_alike(monkeypatch):
+    """Words far from any that counts, and those of a long text that no filter is largest at, change no activation."""
+    rng = np.random.default_rng(3)
+    net = toxicity._network(toxicity.begin(np.append(0.0, rng.normal(0, 1, 49)), 1)[0], 50)
+    for n in (1, 2, 5, 40, 400):
+        cells = np.where(rng.random((n, 4)) < 0.02, rng.integers(1, 50, (n, 4)), 0).astype(np.int32)
+        kept = cells[toxicity.near_active(cells.any(axis=1))]
+        assert np.array_equal(net.pooled(cells, np.array([n]))[0], net.pooled(kept, np.array([len(kept)]))[0])
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "PIECE_WORDS", 30)
+            short = net.shrunk(cells)
+        assert np.array_equal(net.pooled(cells, np.array([n]))[0], net.pooled(short, np.array([len(short)]))[0])
+
+
+def test_toxicity_of_texts_beyond_a_chunk(spark, spoken):
+    """Texts longer than a chunk, with and without places to cut, are scored."""
+    net = toxicity.train([(np.zeros((3, 4), dtype=np.int32), 0), (np.ones((3, 4), dtype=np.int32), 1)])
+    rows = [(1, "hello you " * 150_000), (2, "x" * 1_300_000)]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Model(net, language_id.fit(spoken), {"": 0.5}))
+    assert got.where("score >= 0").count() == 2
+
+
+def test_languages_from_all_texts(spark, spoken):
+    """Without a bound the trigrams of every text are counted, a text at a time or many at once."""
+    one = language_id.fit(spoken.repartition(1), fit_docs=None)
+    assert np.array_equal(one.table, language_id.fit(spoken.repartition(200), fit_docs=None).table)
+    assert np.array_equal(one.table, language_id.fit(spoken, fit_docs=10**9).table) and not np.array_equal(one.table, language_id.fit(spoken, fit_docs=10).table)
+    sums = np.full((3, language_id.SLOTS), 0.5)
+    for r in spoken.collect():
+        t = f" {r['text']} ".encode()
+        for i in range(len(t) - 1):
+            x = np.array([(t[i] << 16 | t[i + 1] << 8 | (t[i + 2] if i + 2 < len(t) else 32))], dtype=np.uint32)
+            sums[one.languages.index(r["lang"]), int((x * np.uint32(2654435761) >> np.uint32(16))[0])] += 1
+    assert np.allclose(one.table, np.log(sums / sums.sum(axis=1, keepdims=True)), atol=1e-5)
