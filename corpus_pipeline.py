@@ -30,7 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies, of 0.8 or more of their five-word shingles."""
+    """Keeps the document of the smallest id of each group of near copies, of 0.8 or more of their five-word shingles: by
+    SimHash fingerprints, and exactly for what they leave unconnected."""
     return shingle_dedup.keep_first(docs)
 
 

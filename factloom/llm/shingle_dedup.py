@@ -1,6 +1,9 @@
-"""Near copies by the exact Jaccard similarity of shingle sets.
+"""Near copies by SimHash fingerprints of shingle sets, completed by their exact Jaccard similarity.
 
-Two texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The join is exact, by prefix
+Two texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. First the SimHash fingerprints
+of the sets are joined by the pigeonring (``simhash_dedup``): a set is compared in full with the least one whose
+fingerprint is within two bits of its own. At a similarity of 0.8 two fingerprints differ in about ten bits, so that alone
+would lose links; those between groups that the fingerprints didn't connect are found by an exact join, by prefix
 filtering (Chaudhuri, Ganti and Kaushik, 2006): with all sets in one order, two similar sets share one of their first
 n - ceil(0.8 n) + 1 shingles. Their lengths, and how many of these first ones they share, bound what two sets can have in
 common: of the two, the one whose first ones end earlier shares no other shingle but those behind. The pairs left are
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, text_parts
 from factloom.llm.graph import components
-from factloom.llm.simhash_dedup import SEED, grouped, hash_parts, stay
+from factloom.llm.simhash_dedup import SEED, grouped, hash_parts, simhash_of, stay
+from factloom.llm.simhash_dedup import links as ring_links
 
 WIDTH = 5
 #: The least similarity as a fraction.
@@ -96,20 +100,25 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """(u, v): similar nodes of the rows ``sets`` (key, hash of the text, fp, n, prefix) of ``docs`` (key, text), such that
-    all similar nodes are connected.
+    """(u, v): similar nodes of the rows ``sets`` (key, hash of the text, fp, n, simhash, prefix) of ``docs`` (key, text), such
+    that all similar nodes are connected.
 
     Of the copies of one text each shares its first shingles with every other, so the pairs are not all tried. In a first
-    pass a node is compared with one other, the least node of half of its first shingles or more; in the second, the pairs
-    that share a shingle and that the first one didn't connect."""
+    pass a node is compared with one other whose fingerprint is near; in a second, if that didn't connect them, with the
+    least node of half of its first shingles or more; in the third, the pairs that share a shingle and that are still not
+    connected."""
     full, twice = sets.where("n > 0"), _small(sets.groupBy("fp").count().where("count > 1").select("fp"))
     once = full.join(twice, "fp", "left_anti").unionByName(full.join(twice, "fp", "left_semi").dropDuplicates(["fp"])).select("fp", "n", F.explode("prefix").alias("h"))
     of = Window.partitionBy("h")
     shared = cut(once.select("h", "fp", "n", F.min("fp").over(of).alias("least"), F.max("fp").over(of).alias("most")).where("least < most").drop("most"))
-    votes = shared.where("fp <> least").groupBy("fp", "least", "n").count()
+    near = cut(_similar(docs, sets, cut(ring_pairs(full)), width))
+    of = cut(components(near)).toDF("fp", "root")
+    joined = shared.where("fp <> least").groupBy("fp", "least", "n").count().join(of, "fp", "left")
+    joined = joined.join(of.toDF("least", "least root"), "least", "left")
+    votes = joined.where(F.coalesce("root", "fp") != F.coalesce("least root", "least")).drop("root", "least root")
     many = 2 * F.col("count") > F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER)
     first = votes.where(many).groupBy("fp").agg(F.max_by("least", F.struct("count", "least")).alias("v")).select(F.col("fp").alias("u"), "v")
-    one = cut(_similar(docs, sets, cut(first), width))
+    one = cut(near.unionByName(_similar(docs, sets, cut(first), width)))
     named = shared.drop("least").join(components(one).toDF("fp", "root"), "fp", "left").select("h", "fp", "n", F.coalesce("root", "fp").alias("c"))
     mixed = named.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
     rest = cut(named.join(mixed, "h", "left_semi"))
@@ -121,6 +130,16 @@ def links(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     return one.unionByName(_similar(docs, sets, pairs, width))
 
 
+def ring_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v): each node of the rows ``sets`` (fp, simhash) with the least node of those whose fingerprint is within two bits
+    of its own, unless it is that itself."""
+    least = cut(sets.groupBy(F.col("simhash").alias("s")).agg(F.min("fp").alias("v")))
+    linked = ring_links(least.select(F.col("s").alias("fp")))
+    both = linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("s", "t")
+    other = both.join(least.toDF("t", "v"), "t").select("s", "v").unionByName(least).groupBy("s").agg(F.min("v").alias("v"))
+    return sets.select(F.col("fp").alias("u"), "simhash").distinct().join(other, F.col("simhash") == F.col("s")).where("u <> v").select("u", "v")
+
+
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar, compared in full. Of each node one text goes to its pairs."""
 
@@ -146,7 +165,7 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) ->
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (key, text), and (key, hash of the text, fp, n, prefix) of their shingle sets."""
+    """The rows (key, text), and (key, hash of the text, fp, n, simhash, prefix) of their shingle sets."""
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known, counts = frequent(base, width)
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
@@ -155,10 +174,10 @@ def _sets_of(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFram
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             got = list(_sets(b, width))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hash"), _nodes(got), pa.array(list(map(len, got)), pa.int32()), _lists([prefix(h, *shared.value) for h in got])], names=["key", "hash", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hash"), _nodes(got), pa.array(list(map(len, got)), pa.int32()), pa.array(np.array([simhash_of([h]) for h in got], dtype=np.uint64).view(np.int64)), _lists([prefix(h, *shared.value) for h in got])], names=["key", "hash", "fp", "n", "simhash", "prefix"])
 
     hashed = base.withColumn("hash", F.xxhash64("text"))
-    return base, cut(hashed.mapInArrow(run, f"key {kind}, hash long, fp long, n int, prefix array<long>"))
+    return base, cut(hashed.mapInArrow(run, f"key {kind}, hash long, fp long, n int, simhash long, prefix array<long>"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

@@ -14,7 +14,7 @@ others within two bits, so links stay in proportion to the fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +99,13 @@ def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
 
 def _long_fingerprint(text: bytes, width: int) -> np.uint64:
     """The fingerprint of a text that is read in pieces: its bits are counted piece by piece."""
+    return simhash_of(hash_parts(text, width))
+
+
+def simhash_of(parts: Iterable[np.ndarray]) -> np.uint64:
+    """The fingerprint of the hashes (uint64) of all parts."""
     n, bits = 0, np.zeros(64, dtype=np.int64)
-    for h in hash_parts(text, width):
+    for h in parts:
         n += len(h)
         for at in range(0, len(h), 255):
             bits += _LANES[h[at : at + 255].view(np.uint8).reshape(-1, 8)].sum(axis=0).view(np.uint8)

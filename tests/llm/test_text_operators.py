@@ -276,6 +276,28 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_copies(df).collect()} == want
 
 
+def test_pipeline_joins_fingerprints(spark, monkeypatch):
+    """The pipeline's near-copy stage joins SimHash fingerprints by the pigeonring, and what that connects is similar."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    base = [[str(rng.randint(0, 9999)) for _ in range(400)] for _ in range(12)]
+    rows = [(i, " ".join(w if i < 12 else [*w[:-1], "odd"])) for i, w in enumerate(base * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sets = shingle_dedup._sets_of(df, "doc_id", "text", 5)
+    of = {r["fp"]: r for r in sets.collect()}
+    hashes = [shingle_dedup.shingle_set(of_text.encode()) for _, of_text in rows]
+    want = [int("".join("1" if 2 * sum(int(h) >> b & 1 for h in x) > len(x) else "0" for b in reversed(range(64))), 2) for x in hashes]
+    assert sorted(r["simhash"] & (1 << 64) - 1 for r in of.values()) == sorted(want)
+    pairs = {(r["u"], r["v"]) for r in shingle_dedup.ring_pairs(sets).collect()}
+    near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2
+    least = {u: min(v for v in of if near(of[u]["simhash"], of[v]["simhash"])) for u in of}
+    assert pairs == {(u, v) for u, v in least.items() if u != v} and pairs
+    seen, ring = [], shingle_dedup.ring_pairs
+    monkeypatch.setattr(shingle_dedup, "ring_pairs", lambda x: seen.append(1) or ring(x))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(range(12)) and seen
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert [r[0] for r in components(links).select("root").distinct().collect()] == [0]
