@@ -545,6 +545,26 @@ def test_shrunk_texts_train_alike(monkeypatch):
         assert np.array_equal(net.pooled(cells, np.array([n]))[0], net.pooled(short, np.array([len(short)]))[0])
 
 
+def test_toxicity_packs_words_and_counts():
+    """Cells and counts come back as they were; equal cells of a short word are kept once, small counts in a byte."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 300):
+        for share in (0.0, 0.3, 1.0):
+            cells = np.where(rng.random((n, 4)) < share, rng.integers(1, toxicity.SLOTS, (n, 4)), 0).astype(np.int32)
+            cells[::3, 1:] = cells[::3, :1]
+            assert np.array_equal(toxicity._cells(toxicity._packed(cells)), cells)
+    short = np.repeat(rng.integers(1, 1 << 16, (4000, 1)), 4, axis=1).astype(np.int32)
+    assert np.array_equal(toxicity._cells(toxicity._packed(short)), short) and len(toxicity._packed(short)) < 2.1 * len(short)
+    for most, width in ((2, 0.3), (1 << 16, 2.3), (1 << 40, 5.3)):
+        counts = rng.integers(0, most, toxicity.BLOCK)
+        assert np.array_equal(toxicity._counts(toxicity._shrunk(counts)), counts) and len(toxicity._shrunk(counts)) < width * len(counts)
+    start = rng.normal(0, 0.5, (900, 2 * toxicity.DIM)).astype(np.float32)
+    moves = (start + rng.normal(0, 1e-3, start.shape).astype(np.float32)) - start
+    at, back = toxicity._moves(toxicity._packed_moves(np.arange(0, 3600, 4), moves))
+    assert at.tolist() == list(range(0, 3600, 4)) and np.array_equal(back, moves)
+    assert len(toxicity._packed_moves(at, moves)) < 3.3 * moves.size
+
+
 def test_toxicity_of_texts_beyond_a_chunk(spark, spoken):
     """Texts longer than a chunk, with and without places to cut, are scored."""
     net = toxicity.train([(np.zeros((3, 4), dtype=np.int32), 0), (np.ones((3, 4), dtype=np.int32), 1)])
