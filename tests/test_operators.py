@@ -139,6 +139,57 @@ def test_bm25(spark):
     assert empty.query(["a"]).count() == 0
 
 
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange")
+
+
+def test_bm25_counts_within_rows(spark):
+    """Where each document is one row, its postings, lengths and bags shuffle nothing."""
+    docs = spark.createDataFrame([("1", "b a b"), ("2", None), ("3", "!!"), ("4", "c")], "id string, t string")
+    index = search.Bm25.build(docs, "id", "t")
+    assert [shuffles(x) for x in (index.postings, index.lengths, index.reconstruct())] == [0, 0, 0]
+    assert {tuple(r) for r in index.postings.collect()} == {("1", "a", 1), ("1", "b", 2), ("4", "c", 1)}
+    assert {tuple(r) for r in index.lengths.collect()} == {("1", 3), ("2", 0), ("3", 0), ("4", 1)}
+    assert {r["doc"]: [tuple(t) for t in r["terms"]] for r in index.reconstruct().collect()} == {"1": [("a", 1), ("b", 2)], "4": [("c", 1)]}
+
+
+def test_bm25_segments(spark, tmp_path):
+    """Segments that share documents, in memory or stored, score as one index of all rows; terms are found once a segment."""
+    rows = [(i % 7, " ".join(f"w{(i * j) % 5}" for j in range(i % 4 + 1))) for i in range(20)] + [(9, None)]
+    whole = search.Bm25.build(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    parts = [search.Bm25.build(spark.createDataFrame(rows[k::2], "id long, t string"), "id", "t") for k in range(2)]
+    for k, x in enumerate(parts):
+        x.write(str(tmp_path / f"{k}"))
+    apart = [search.Bm25.build(spark.createDataFrame([r for r in rows if (r[0] > 3) == k], "id long, t string"), "id", "t") for k in (False, True)]
+    for k, x in enumerate(apart):
+        x.write(str(tmp_path / f"apart{k}"))
+    want = {r["doc"]: round(r["score"], 9) for r in whole.query(["w0", "w1"]).collect()}
+    assert len(want) == 7
+    for index in (parts[0].merge(parts[1]), parts[1].merge(parts[0]), search.Bm25.read(spark, str(tmp_path / "0"), str(tmp_path / "1")), search.Bm25.read(spark, str(tmp_path / "apart0"), str(tmp_path / "apart1"))):
+        assert {r["doc"]: round(r["score"], 9) for r in index.query(["w0", "w1"]).collect()} == want
+        assert sorted(map(tuple, index.lengths.collect())) == sorted(map(tuple, whole.lengths.collect()))
+    assert shuffles(parts[0].merge(parts[1]).postings) == 1
+    assert shuffles(search.Bm25.read(spark, str(tmp_path / "apart0"), str(tmp_path / "apart1")).postings) == 0
+
+
+def test_best_entities(spark):
+    """An entity's best text counts, equal texts are one document, and of texts that score alike the greatest is shown."""
+    g = source(spark, [("a", "body", "=t:the cat"), ("a", "body", "=t:the the"), ("b", "body", "=t:the cat"), ("c", "body", "=t:a dog"), ("d", "body", "=t:the dog")])
+    got = [(r["e"], round(r["score"], 9), r["snippet"]) for r in search.best_entities(g, "body", "the of", 3).collect()]
+    idf = math.log((4 - 3 + 0.5) / 3.5 + 1)
+    score = lambda tf: round(idf * tf * 2.5 / (tf + 1.5), 9)
+    assert got == [("a", score(2), "the the"), ("b", score(1), "the cat"), ("d", score(1), "the dog")]
+    assert search.best_entities(g, "body", "!", 3).count() == 0
+
+
+def test_words_of_odd_texts(spark):
+    """Punctuation within a word stays; U+2028 ends no word, so what stands before it isn't trimmed."""
+    texts = ["--a--b--", "x.\u2028", "...", "", "A.\t(b)\x0bC", "-" * 50_000 + "z" + "-" * 50_000 + "y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.words(F.col("t")), text.bigram_tokens(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["a--b"], ["x.\u2028"], [], [], ["a", "b", "c"], ["z" + "-" * 50_000 + "y"]]
+    assert [r[1] for r in rows] == [[], [], [], [], ["a b", "b c"], []]
+
+
 def test_tokenizers(spark):
     df = spark.createDataFrame([("  Hello, (World)! don't -- 2x \U0001f600\U0001f44d\U0001f3fd",), ("parseHTTPResponse2JSON snake_case",), (None,)], "t string")
     t = F.col("t")
