@@ -397,6 +397,47 @@ def test_approximate_neighbours(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def _odd_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(300)]  # many ties
+    rows += [(300, None), (301, [1.0, None, 2.0]), (302, [0.0] * 3), (303, [1e-170] * 3), (304, [1e170, 1.0, 1.0]), (305, [1.0, 2.0]), (306, []), (307, [float("nan"), 1.0, 1.0]), (308, [float("inf"), 0.0, 1.0])]
+    return spark.createDataFrame(rows, "handle long, vec array<double>")
+
+
+@pytest.mark.parametrize("k", [1, 3, 400])
+def test_nearest_is_a_plain_scan(spark, monkeypatch, k):
+    """Blocks smaller than the input, ties, vectors of other lengths, null, not finite or of no length: as a scan of all pairs."""
+    from pyspark.sql import Window
+
+    from factloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "SIDE", 64 * 3)
+    monkeypatch.setattr(nearest, "PRODUCTS", 2000)
+    t = _odd_vectors(spark)
+    q = t.where("handle % 5 = 0 or handle >= 300").select(F.col("handle").alias("query"), "vec")
+    got = vectors.top_k_per_query(q, t, k)
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    pairs = q.withColumnRenamed("vec", "q").crossJoin(t).select("query", "handle", vectors.cosine(F.col("q"), F.col("vec")).alias("cosine"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "handle"))).where(F.col("rank") <= k)
+    assert sorted(map(tuple, got.select("query", "rank", "handle", "cosine").collect())) == sorted(map(tuple, want.select("query", "rank", "handle", "cosine").collect()))
+
+
+def test_approximate_top_k_is_the_best_of_the_pairs(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from factloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "SIDE", 64 * 3)
+    t = _odd_vectors(spark)
+    t = t.unionByName(t.where("handle < 40").select("handle", F.reverse("vec").alias("vec")))  # several rows of a key
+    q = t.where("handle % 5 = 0").select(F.col("handle").alias("query"), "vec")
+    got = vectors.approximate_top_k(q, t, 4, 3, tables=5, bits=3)
+    near = vectors.approximate_pairs(q, t, -1.0, 3, tables=5, bits=3)
+    want = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "handle"))).where("rank <= 4")
+    assert sorted(map(tuple, got.select("query", "rank", "handle", "cosine").collect())) == sorted(map(tuple, want.select("query", "rank", "handle", "cosine").collect()))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
 def test_recall_of_approximate_top_k(spark):
     """The approximate query gives nine of ten true neighbours of every row whose id 20 divides, with right cosines."""
     from factloom.queries import QUERIES
