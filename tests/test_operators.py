@@ -423,6 +423,20 @@ def test_pairs_are_a_plain_scan(spark, monkeypatch):
     assert rounded(got) == rounded(want)
 
 
+def test_graph_of_a_large_shard(spark, monkeypatch):
+    """Shards beyond what a task links get the links that one task finds."""
+    from factloom.operators import nearest, neighbours
+
+    rng = random.Random(8)
+    t = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)] + [(401, None)], "handle long, vec array<double>")
+    shape = lambda index: sorted((r["shard"], r["number"], r["handle"], r["vec"], r["layers"]) for r in index.rows.collect())
+    whole = [shape(neighbours.GraphIndex.build(t, m=3, shard=n)) for n in (1000, 150)]
+    assert max(len(r[4]) for r in whole[0]) > 2
+    monkeypatch.setattr(neighbours, "WHOLE", 50)
+    monkeypatch.setattr(nearest, "SIDE", 64 * 6)
+    assert [shape(neighbours.GraphIndex.build(t, m=3, shard=n)) for n in (1000, 150)] == whole
+
+
 def _odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(300)]  # many ties
