@@ -437,6 +437,32 @@ def test_graph_of_a_large_shard(spark, monkeypatch):
     assert [shape(neighbours.GraphIndex.build(t, m=3, shard=n)) for n in (1000, 150)] == whole
 
 
+def test_walks_in_step_are_walks(monkeypatch):
+    import numpy as np
+
+    from factloom.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(700, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    layers = neighbours.layers_of(v, 4, 1)
+    q = rng.normal(size=(40, 12))
+    for k, ef in ((3, 8), (10, 40), (1, 1)):
+        want = [{x for _, x in neighbours.walk(one, v, layers, k, ef)} for one in q]
+        exact = [set(np.argsort(-(v @ one))[:k].tolist()) for one in q]
+        hits = lambda got: sum(len(x & y) for x, y in zip(got, exact))
+        for together in (1, 8):
+            monkeypatch.setattr(neighbours, "TOGETHER", together)
+            i, j = neighbours.walks(q, v, layers, k, ef)
+            got = [set(j[i == n].tolist()) for n in range(40)]
+            if together == 1:
+                assert got == want
+            else:
+                assert all(len(x) == k for x in got) and hits(got) >= 0.95 * hits(want)
+    i, j = neighbours.walks(q, v[:1], [[[]]], 5, 9)
+    assert i.tolist() == list(range(40)) and set(j.tolist()) == {0}
+
+
 def _odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(300)]  # many ties
