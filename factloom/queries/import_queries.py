@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalar
 from factloom.operators import folds
-from factloom.operators.shared import shared_folder
+from factloom.operators.shared import cut, shared_folder
 from factloom.plans.algebra import Pattern, Range, Var, and_, find, pattern, vars_
 from factloom.queries.registry import graph, query, table
 from factloom.sources import blobs, json_facts, ntriples
@@ -130,7 +130,7 @@ def s14_json_flat(spark, d):
 def s16_json_trees(spark, d):
     """Each document's tree: its object, the member's key and the number as written."""
     got = json_facts.import_trees(table(spark, d, "events"), F.col("event_id"), F.col("props"))
-    facts = FactSource(json_facts.facts_of(got))
+    facts = FactSource(cut(json_facts.facts_of(got)))
     root, member, value = vars_("root _m _v")
     kind, key, text = vars_("kind key text")
     where = pattern(facts, (root, {"json.kind": kind, "json.member": member}), (member, {"json.key": key, "json.value": value}), (value, {"json.text": text}))

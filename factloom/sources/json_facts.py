@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,12 @@ def object_facts(text: str, salt: str = "", depth: int = MAX_DEPTH) -> tuple[lis
 
 
 _ROWS = "array<struct<e:string,a:string,v:string,int:bigint,num:double>>"
-_ARROW = pa.list_(pa.struct([("e", pa.string()), ("a", pa.string()), ("v", pa.string()), ("int", pa.int64()), ("num", pa.float64())]))
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
+
+
+def fact_array(facts: list[tuple]) -> pa.StructArray:
+    columns = zip(*facts) if facts else ((),) * len(COLUMNS)
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS)], COLUMNS)
 
 
 def _parsed(docs: DataFrame, key: Column, text: Column, parse) -> DataFrame:
@@ -142,15 +148,22 @@ def _parsed(docs: DataFrame, key: Column, text: Column, parse) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out = []
-            for t in b.column("text").to_pylist():
+            texts = pc.dictionary_encode(b.column("text"))  # a text that a batch has many times is parsed once
+            all_roots, all_facts, ends, errors = [], [], [0], []
+            for t in texts.dictionary.to_pylist():
                 try:
-                    roots, facts = parse(t) if t is not None else ([], [])
-                    out.append((roots, [dict(zip(COLUMNS, f)) for f in facts], None))
+                    roots, facts = parse(t)
+                    errors.append(None)
                 except Refused as e:
-                    out.append(([], [], str(e)))
-            roots, facts, errors = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(roots, pa.list_(pa.string())), pa.array(facts, _ARROW), pa.array(errors, pa.string())], names=["doc", "roots", "facts", "error"])
+                    roots, facts = [], []
+                    errors.append(str(e))
+                all_roots.append(roots)
+                all_facts += facts
+                ends.append(len(all_facts))
+            # a null text has an empty place of its own
+            place = pc.fill_null(texts.indices, len(errors))
+            columns = [pa.array(all_roots + [[]], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([*ends, ends[-1]], pa.int32()), fact_array(all_facts)), pa.array(errors + [None], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *[c.take(place) for c in columns]], names=["doc", "roots", "facts", "error"])
 
     return base.mapInArrow(run, f"doc string, roots array<string>, facts {_ROWS}, error string")
 
@@ -161,6 +174,7 @@ def import_objects(docs: DataFrame, key: Column, text: Column, salt: str = "", d
 
 
 def facts_of(imported: DataFrame) -> DataFrame:
+    """The distinct facts of an import. Where several clauses read them, ``cut`` saves parsing for each."""
     return imported.select(F.inline("facts")).dropDuplicates(["e", "a", "v"])
 
 
@@ -213,12 +227,10 @@ def import_trees(docs: DataFrame, key: Column, text: Column, depth: int = MAX_DE
 
 def array_node(children: DataFrame) -> DataFrame:
     """(doc, array, facts) rows of the array node of each group of (doc, index, child); an array is one value."""
-    def run(key, pdf):
-        import pandas as pd
-
+    def node(children: list[str]) -> tuple[str, list[tuple]]:
         facts: dict = {}
         rows = [("json.kind", "=t:array", None)]
-        for i, child in enumerate(pdf.sort_values("index")["child"]):
+        for i, child in enumerate(children):
             entry = [("json.index", f"=i:{i}", i), ("json.value", child, None)]
             e = _id([r[:2] for r in entry], "tree")
             for a, v, n in entry:
@@ -227,13 +239,40 @@ def array_node(children: DataFrame) -> DataFrame:
         e = _id([r[:2] for r in rows], "tree")
         for a, v, _ in rows:
             facts[e, a, v] = (e, a, v, None, None)
-        out = pd.DataFrame(list(facts.values()), columns=COLUMNS)
-        out.insert(0, "array", e)
-        out.insert(0, "doc", key[0])
-        out["int"] = out["int"].astype("Int64")
-        return out
+        return e, list(facts.values())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, arrays, all_facts = [], [], []
+
+        def batch() -> pa.RecordBatch:
+            facts = fact_array(all_facts)
+            out = pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(arrays, pa.string()), *facts.flatten()], names=["doc", "array", *COLUMNS])
+            docs.clear(), arrays.clear(), all_facts.clear()
+            return out
 
-    return children.groupBy("doc").applyInPandas(run, "doc string, array string, e string, a string, v string, int bigint, num double")
+        def ended(doc: str | None, children: list[str]) -> None:
+            array, facts = node(children)
+            docs.extend([doc] * len(facts))
+            arrays.extend([array] * len(facts))
+            all_facts.extend(facts)
+
+        doc, held = None, []  # rows come by document, one after another, however batches cut them
+        for b in it:
+            for d, child in zip(b.column("doc").to_pylist(), b.column("child").to_pylist()):
+                if held and d != doc:
+                    ended(doc, held)
+                    held = []
+                    if len(all_facts) > 10_000:
+                        yield batch()
+                doc = d
+                held.append(child)
+        if held:
+            ended(doc, held)
+        if all_facts:
+            yield batch()
+
+    rows = children.select("doc", "index", "child").repartition("doc").sortWithinPartitions("doc", "index").select("doc", "child")
+    return rows.mapInArrow(run, "doc string, array string, e string, a string, v string, int bigint, num double")
 
 
 def export(source: FactSource, roots: DataFrame, names: dict[str, str] | None = None, depth: int = 8) -> DataFrame:

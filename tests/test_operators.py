@@ -463,6 +463,44 @@ def test_walks_in_step_are_walks(monkeypatch):
     assert i.tolist() == list(range(40)) and set(j.tolist()) == {0}
 
 
+def test_json_texts_of_a_batch_are_parsed_once(spark, monkeypatch):
+    """Equal texts, nulls and refused texts keep their own rows; arrays keep their order across batches."""
+    import pyarrow as pa
+
+    calls = []
+    docs = [("a", '{"k": 1}'), ("b", None), ("c", '{"k": 1}'), ("d", "{"), ("e", '{"k": 1}'), ("f", "{")]
+
+    class Frame:  # what _parsed asks of a table, to see the texts that its function parses
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return pa.Table.from_batches(run(iter([pa.RecordBatch.from_pydict({"doc": [d for d, _ in docs], "text": pa.array([t for _, t in docs], pa.string())})])))
+
+    def parse(text):
+        calls.append(text)
+        return json_facts.object_facts(text)
+
+    got = json_facts._parsed(Frame(), F.col("doc"), F.col("text"), parse).to_pylist()
+    assert len(calls) == 2
+    one = json_facts.object_facts('{"k": 1}')
+    want = {'{"k": 1}': (one[0], [dict(zip(["e", "a", "v", "int", "num"], f)) for f in one[1]], False), None: ([], [], False), "{": ([], [], True)}
+    assert [(r["doc"], r["roots"], r["facts"], r["error"] is not None) for r in got] == [(d, *want[t]) for d, t in docs]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(d, i, f"c{(i * 7) % 5}") for d in ("x", "y", "z") for i in range(8 if d == "x" else 2)]
+        made = json_facts.array_node(spark.createDataFrame(rows[::-1], "doc string, index long, child string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    child = {r["e"]: r["v"] for r in made if r["a"] == "json.value"}
+    index = {r["e"]: r["int"] for r in made if r["a"] == "json.index"}
+    for d in ("x", "y", "z"):
+        items = sorted((index[r["v"]], child[r["v"]]) for r in made if r["doc"] == d and r["a"] == "json.item")
+        assert items == [(i, c) for e, i, c in rows if e == d]
+    assert len({r["array"] for r in made}) == 2  # y and z are equal
+
+
 def _odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(300)]  # many ties
