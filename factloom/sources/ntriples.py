@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalar
 from factloom.functions.codec import encoding
-from factloom.operators.shared import cut
+from factloom.operators.shared import cut, distinct
 from factloom.sources.facts import COLUMNS
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -150,7 +150,9 @@ def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
     """Facts of lines (value string, and doc, the document that blank node labels belong to, if there are several)."""
     if "doc" not in lines.columns:
         lines = lines.withColumn("doc", F.lit(""))
-    t = cut(_terms(lines.select("doc", "value")))
+    # lines of a few files are dealt to many tasks
+    t = cut(_terms(lines.select("doc", "value").hint("rebalance", "value")))
+    rows = t.count()
     # taken apart by a generator, so that a reading is computed once and not for each column that follows from it
     read = t.select("*", F.inline(F.array(readings(F.col("literal"), F.col("datatype")))))
     text = F.col("literal")
@@ -166,8 +168,8 @@ def parse(lines: DataFrame, resolve_blank: bool = True) -> Imported:
     tagged = t.where("lang is not null").select(lang_id.alias("e"), text.alias("text"), lang.alias("lang")).distinct()
     tk = encoding("text")
     more = tagged.select("e", F.lit(RDF_TEXT).alias("a"), tk.key(F.col("text")).alias("v")).unionByName(tagged.select("e", F.lit(RDF_LANG).alias("a"), tk.key(F.col("lang")).alias("v")))
-    facts = main.unionByName(more.withColumns({"int": nothing.cast("bigint"), "num": nothing.cast("double")})).dropDuplicates(["e", "a", "v"])
-    if resolve_blank:
+    facts = distinct(main.unionByName(more.withColumns({"int": nothing.cast("bigint"), "num": nothing.cast("double")})), rows, "e", "a", "v")
+    if resolve_blank and not t.where("subject_b is not null or object_b is not null").isEmpty():
         facts = resolve_blank_nodes(facts)
     iris = t.select(F.explode(F.array("subject", "predicate", "object")).alias("uri")).where("uri is not null").distinct()
     return Imported(facts.select(*COLUMNS), iris.select(uri_to_id(F.col("uri")).alias("id"), "uri"), t)
