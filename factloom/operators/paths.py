@@ -75,17 +75,17 @@ def _doubled(step: DataFrame) -> DataFrame:
     seen = step.where("p = 0").select("src", F.col("dst").alias("at"), "q").distinct()
     jump = step.select(F.col("src").alias("at"), F.col("p").alias("q"), F.col("dst").alias("next"), F.col("q").alias("next_q"))
     jump = jump.join(step.select(F.col("q").alias("q")).distinct(), "q", "left_semi").select("at", "q", "next", "next_q")  # a state that no arc leads to is never extended
-    known = -1
+    known = rows = -1
     while True:
-        seen = cut(seen)
+        seen = cut(seen, max(rows, 0))
         now = seen.count()
         if now == known or jump.isEmpty():
             return seen
-        known = now
+        known, rows = now, 4 * now
         more = seen.join(jump, ["at", "q"]).select("src", F.col("next").alias("at"), F.col("next_q").alias("q"))
         seen = seen.unionByName(more).distinct()
         then = jump.select(F.col("at").alias("next"), F.col("q").alias("next_q"), F.col("next").alias("far"), F.col("next_q").alias("far_q"))
-        jump = cut(jump.join(then, ["next", "next_q"]).select("at", "q", F.col("far").alias("next"), F.col("far_q").alias("next_q")).distinct())
+        jump = cut(jump.join(then, ["next", "next_q"]).select("at", "q", F.col("far").alias("next"), F.col("far_q").alias("next_q")).distinct(), rows)
 
 
 def _accepted(seen: DataFrame, automaton: Automaton, vertices: DataFrame | None, sources: DataFrame | None) -> DataFrame:
@@ -97,6 +97,8 @@ def _accepted(seen: DataFrame, automaton: Automaton, vertices: DataFrame | None,
         if sources is not None:
             own = own.join(sources.toDF("src").distinct(), "src", "left_semi")
         out = out.unionByName(own.select("src", F.col("src").alias("dst")))
+    elif len(automaton.accepting) == 1:
+        return out  # rows of one state are distinct as they are
     return out.distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.codec import Id, constant_key
 from factloom.operators.paths import PathIndex
-from factloom.operators.shared import cut
+from factloom.operators.shared import cut, distinct
 from factloom.plans.algebra import And, Constraint, Pattern, Var, Where, rows
 from factloom.plans.paths import step
 from factloom.sources.facts import COLUMNS, FactSource, UnionSource
@@ -59,14 +59,15 @@ def _column(rule: Rule, term: object, names: list[str], value: bool) -> Column:
     return F.lit(constant_key(term) if value and not isinstance(term, Id) else term.value if isinstance(term, Id) else str(term))
 
 
-def fire(rule: Rule, full: FactSource, delta: FactSource | None) -> DataFrame:
-    """Facts that follow from bindings with a new fact; from all bindings if ``delta`` is None."""
+def fire(rule: Rule, full: FactSource, delta: FactSource | None, about: int = 0) -> DataFrame:
+    """Facts that follow from bindings with a new fact; from all bindings if ``delta`` is None. ``about``: how many, if
+    known."""
     clauses = [Pattern(full, *c) for c in rule.when]
     found = rows(And(*clauses, *rule.where)) if delta is None else rows(pattern_changes(clauses, full, delta, *rule.where))
     names = found.columns
     made = F.array(*[F.struct(_column(rule, e, names, False).alias("e"), _column(rule, a, names, False).alias("a"), _column(rule, v, names, True).alias("v")) for e, a, v in rule.then])
     out = found.select(F.explode(made).alias("f")).select("f.*")
-    return _typed(out).dropDuplicates(["e", "a", "v"])
+    return distinct(_typed(out), about, "e", "a", "v")
 
 
 def _typed(facts: DataFrame) -> DataFrame:
@@ -124,21 +125,24 @@ def chains(rules: list[Rule]) -> list[tuple[str, str]]:
 
 
 def _advance(facts: DataFrame, rules: list[Rule], budget: int | None, delta: DataFrame | None) -> Advanced:
-    held = cut(facts.select(*COLUMNS).dropDuplicates(["e", "a", "v"]))
+    rows = facts.count()
+    held = cut(distinct(facts.select(*COLUMNS), rows, "e", "a", "v"), rows)
     fresh = None if delta is None else cut(delta.select(*COLUMNS))
     done = 0
     while budget is None or done < budget:
         full, new = FactSource(held), None if fresh is None else FactSource(fresh)
         out = None
         for r in rules:
-            part = fire(r, full, new)
+            part = fire(r, full, new, rows)
             out = part if out is None else out.unionByName(part)
         if out is None:
             return Advanced(held, done, True)
-        fresh = cut(out.dropDuplicates(["e", "a", "v"]).join(held.select("e", "a", "v"), ["e", "a", "v"], "left_anti").select(*COLUMNS))
+        fresh = cut(out.dropDuplicates(["e", "a", "v"]).join(held.select("e", "a", "v"), ["e", "a", "v"], "left_anti").select(*COLUMNS), rows)
         done += 1
-        if fresh.isEmpty():
+        found = fresh.count()
+        if not found:
             return Advanced(held, done, True)
+        rows += found
         held = UnionSource(held, fresh)._df
         if done % 4 == 0:
             held = cut(held)

@@ -501,6 +501,43 @@ def test_json_texts_of_a_batch_are_parsed_once(spark, monkeypatch):
     assert len({r["array"] for r in made}) == 2  # y and z are equal
 
 
+def test_many_rows_are_dealt_to_many_tasks(spark, monkeypatch, tmp_path):
+    """However few files and partitions a session has, a task makes no more than so many rows distinct."""
+    from factloom.operators import shared
+    from factloom.sources import facts
+
+    for m in (shared, facts):
+        monkeypatch.setattr(m, "ROWS", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(0, 400, 1, 1).selectExpr("id % 300 AS x")
+    got = shared.distinct(df, 400, "x")
+    assert got.count() == 300 and max(r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 60
+    kept = shared.cut(df.distinct(), 400)
+    assert kept.count() == 300 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    with pytest.raises(Exception, match="nothing"):
+        shared.cut(df.select(F.raise_error(F.lit("nothing"))), 400)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    g = source(spark, [(f"e{i % 90}", "k", f"=i:{i % 90}") for i in range(100)]).scan("k").coalesce(1)
+    facts.write_archive(g, str(tmp_path / "a"))
+    assert facts.read_archive(spark, str(tmp_path / "a")).facts().count() == 90 and len(list((tmp_path / "a" / "a=k").glob("*.parquet"))) > 4
+    # the closure of a chain of 60 links, with repeated facts, by rules
+    chain = source(spark, [(f"n{i}", "parent", f"n{i + 1}") for i in range(60)] * 2).facts()
+    done = rules.advance(chain, rules.parse("base: ?x parent ?y => ?x ancestor ?y\n\nstep: ?x ancestor ?y, ?y parent ?z => ?x ancestor ?z\n"))
+    assert done.quiescent and done.facts.count() == done.facts.distinct().count() == 60 + 60 * 61 // 2
+
+
+def test_lines_without_blank_nodes_are_not_searched(spark, monkeypatch):
+    def never(_):
+        raise AssertionError
+
+    with monkeypatch.context() as m:
+        m.setattr(ntriples, "resolve_blank_nodes", never)
+        lines = spark.createDataFrame([('<a:x> <a:p> "1" .',), ("<a:x> <a:q> <a:y> .",)] * 3, "value string")
+        assert ntriples.parse(lines).facts.count() == 2
+        with pytest.raises(AssertionError):
+            ntriples.parse(lines.unionByName(spark.createDataFrame([("<a:x> <a:q> _:b .",)], "value string")))
+
+
 def _odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(300)]  # many ties
