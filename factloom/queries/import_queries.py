@@ -110,7 +110,7 @@ def s17_json_arrays(spark, d):
     child = nodes.select(F.col("doc").cast("bigint").alias("event_id"), F.get("roots", F.lit(0)).alias("child"), "facts")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     placed = t.join(child, "event_id").select(F.col("user_id").cast("string").alias("doc"), place.cast("bigint").alias("index"), "child")
-    made = json_facts.array_node(placed)
+    made = cut(json_facts.array_node(placed))  # read four times
     texts = json_facts.facts_of(nodes).where("a = 'json.text'").select(F.col("e").alias("child"), F.substring("v", 4, 100).alias("text"))
     items = made.where("a = 'json.item'").select("array", F.col("v").alias("entry"))
     index = made.where("a = 'json.index'").select("array", F.col("e").alias("entry"), F.col("int").alias("i"))
